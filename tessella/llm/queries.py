@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_dedup, sharding
+from . import byte_bpe, line_dedup, quality, sharding
 from .common import read_table
 
 
@@ -12,6 +12,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digest(read_table(spark, sf_dir, "documents"), *byte_bpe.vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,6 +46,7 @@ FROM m GROUP BY rid
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op8_line_dedup": op8_line_dedup,
 }
