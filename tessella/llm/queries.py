@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_dedup, quality, sharding
+from . import byte_bpe, decontam, line_dedup, quality, secret_scan, sharding, url_filter
 from .common import read_table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digest(read_table(spark, sf_dir, "documents"), *byte_bpe.vocabulary("byte_bpe_multi_50k.tiktoken"))
 
@@ -20,6 +28,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leak_rows(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,9 +57,12 @@ FROM m GROUP BY rid
 """
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_url_filter": op2_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
     "op8_line_dedup": op8_line_dedup,
 }
 
