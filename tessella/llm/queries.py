@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontam, line_dedup, quality, secret_scan, sharding, url_filter
+from . import byte_bpe, decontam, langid, license_scan, line_dedup, quality, secret_scan, sharding, url_filter
 from .common import read_table
 
 
@@ -32,6 +32,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_rows(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,6 +60,10 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (droppe
 FROM m GROUP BY rid
 """
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
@@ -63,7 +71,9 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES = {
