@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontam, langid, license_scan, line_dedup, quality, secret_scan, sharding, url_filter
+from . import byte_bpe, decontam, langid, license_scan, line_dedup, near_dedup, quality, secret_scan, sharding, url_filter
 from .common import read_table
 
 
@@ -60,6 +60,10 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (droppe
 FROM m GROUP BY rid
 """
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
+    "op9_near_dedup": op9_near_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
