@@ -192,7 +192,7 @@ NATIVE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "key_le": (_orders(("o_orderkey", "<=", 300)), f"{_O} WHERE o_orderkey <= 300"),
     "key_between": (_orders(("o_orderkey", ">=", 100), ("o_orderkey", "<", 200)), f"{_O} WHERE o_orderkey >= 100 AND o_orderkey < 200"),
     "composite_prefix_eq": (_customers(("c_nationkey", "=", 3)), f"{_C} WHERE c_nationkey = 3"),
-    "composite_full_eq": (_customers(("c_nationkey", "=", 7), ("c_custkey", "=", 42)), f"{_C} WHERE c_nationkey = 7 AND c_custkey = 42"),
+    "composite_full_eq": (_customers(("c_nationkey", "=", 17), ("c_custkey", "=", 42)), f"{_C} WHERE c_nationkey = 17 AND c_custkey = 42"),
     "composite_prefix_range": (_customers(("c_nationkey", "=", 7), ("c_custkey", ">", 50)), f"{_C} WHERE c_nationkey = 7 AND c_custkey > 50"),
     "composite_skip_leading": (_customers(("c_custkey", "<=", 40)), f"{_C} WHERE c_custkey <= 40"),
     "nonkey_filter": (_customers(("c_mktsegment", "=", "BUILDING")), f"{_C} WHERE c_mktsegment = 'BUILDING'"),
