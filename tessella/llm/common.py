@@ -45,6 +45,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Bytes of rows that one Arrow batch takes to a Python worker. Texts may be
+#: long; a batch, its strings and what is made of them must fit beside others.
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of BATCH_BYTES, a bound that holds for the
+    session from then on."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) != f"{BATCH_BYTES}b":
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``df`` without the columns whose names clash with ``names`` (case ignored)."""
     taken = {n.lower() for n in names}
@@ -81,4 +95,4 @@ def map_values(
             arrays += [pa.array(x, type=kind) for x, kind in zip(made, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, *new])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, materialise, without
+from .common import checkpoint, map_batches, materialise, without
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
@@ -27,9 +27,9 @@ MIN_SIMILARITY = 0.8
 #: the least similarity shares a sketch with probability 1 - (1 - 0.8^4)^20.
 SKETCHES = 20
 MINIMA = 4
-#: Texts and characters of a candidate component that one task resolves.
-TASK_TEXTS = 256
-TASK_SHINGLES = 1_000_000
+#: Texts and shingles of a candidate component, or of a bucket, that one task resolves.
+TASK_TEXTS = 4096
+TASK_SHINGLES = 3_000_000
 #: Rows of a narrow side (a text's or document's number) that are broadcast.
 BROADCAST_ROWS = 1_000_000
 CHUNK_CHARS = 1_000_000
@@ -232,7 +232,7 @@ def _per_text(rows: DataFrame, fields: list[T.StructField], fn) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
                 start = stop
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def _kinds(fields: list[T.StructField]) -> list[pa.DataType]:
@@ -264,34 +264,44 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def _resolve(min_similarity: float):
-    """Links of one candidate component, enough to connect what any of its
-    links connects: a pair in one bucket is aligned unless already connected."""
+    """Links of one bounded group of texts, enough to connect what any of its
+    links connects. A text's shared shingles with all others come out of one
+    pass over the group's shingles; only pairs that share a bucket, aren't
+    connected yet and could be similar enough are aligned."""
 
     def run(table: pa.Table) -> pa.Table:
         numbers = table.column("t").to_pylist()
-        texts = [Sequenced(np.frombuffer(g, dtype=np.uint64)) for g in table.column("grams").to_pylist()]
-        parent = list(range(len(numbers)))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        labels = [np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()]
+        keys = table.column("keys").to_pylist()
+        sizes = np.array([len(x) for x in labels])
+        vocabulary, ids = np.unique(np.concatenate(labels), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         buckets: dict[int, list[int]] = {}
-        for i, keys in enumerate(table.column("keys").to_pylist()):
-            for key in keys:
+        for i, own in enumerate(keys):
+            for key in own:
                 buckets.setdefault(key, []).append(i)
-        tested: set[tuple[int, int]] = set()
+        part = np.arange(len(numbers))
+        mark = np.zeros(len(vocabulary), dtype=np.int32)
+        ordered: dict[int, Sequenced] = {}
         links = []
-        for own in buckets.values():
-            for k, i in enumerate(own):
-                for j in own[:k]:
-                    if find(i) != find(j) and (j, i) not in tested:
-                        tested.add((j, i))
-                        if similarity(texts[i], texts[j], min_similarity) >= min_similarity:
-                            links.append((numbers[j], numbers[i]))
-                            parent[find(i)] = find(j)
+        for i in range(1, len(numbers)):
+            near = np.zeros(i, dtype=bool)
+            for key in keys[i]:
+                own = buckets[key]
+                near[own[: bisect_left(own, i)]] = True
+            near &= part[:i] != part[i]
+            if not near.any():
+                continue
+            mine = ids[starts[i] : starts[i] + sizes[i]]
+            mark[mine] = 1
+            common = np.add.reduceat(mark[ids[: starts[i]]], starts[:i])
+            mark[mine] = 0
+            for j in np.flatnonzero(near & (common >= min_similarity * (sizes[:i] + sizes[i] - common))):
+                if part[i] != part[j]:
+                    pair = [ordered.setdefault(k, Sequenced(labels[k])) if k not in ordered else ordered[k] for k in (i, int(j))]
+                    if similarity(*pair, min_similarity) >= min_similarity:
+                        links.append((numbers[j], numbers[i]))
+                        part[part == part[i]] = part[j]
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
@@ -323,7 +333,7 @@ def _star(members: DataFrame, grams: DataFrame, min_similarity: float) -> tuple[
                 out.append(similarity(Sequenced(np.frombuffer(own, dtype=np.uint64)), held[h], least))
             yield pa.RecordBatch.from_arrays([t, hub, pa.array(out, pa.float64())], names=["t", "hub", "s"])
 
-    scored = checkpoint(mine.join(other, "hub").select("t", "hub", "grams", "hub_grams").mapInArrow(run, "t long, hub long, s double"))
+    scored = checkpoint(map_batches(mine.join(other, "hub").select("t", "hub", "grams", "hub_grams"), run, "t long, hub long, s double"))
     links = scored.where(F.col("s") >= min_similarity).select(F.col("hub").alias("a"), F.col("t").alias("b"))
     known = of_hub.join(scored, ["t", "hub"])
     far = known.where((F.col("s") < min_similarity) & (F.col("s") >= least)).groupBy("key").agg(F.max("s").alias("fringe"))
@@ -365,8 +375,15 @@ def text_links(docs: DataFrame, again: Sequence[int], text: str = "text", min_si
         large = label.where(~F.col("fits")).select("t")
         if large.isEmpty():
             break
-        more, members = _star(checkpoint(members.join(large, "t", "left_semi")), grams, min_similarity)
-        links = links.union(more)
+        # Larger components: bucket by bucket where a bucket fits into a task,
+        # by hubs where it doesn't.
+        members = checkpoint(members.join(large, "t", "left_semi"))
+        held = members.join(sizes, "t").groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+        held = checkpoint(members.join(held.select("key", fits.alias("fits")), "key"))
+        own = held.where("fits").select("t", "key").join(grams, "t").select("key", "t", F.array("key").alias("keys"), "grams")
+        links = checkpoint(links.union(own.groupBy("key").applyInArrow(_resolve(min_similarity), "a long, b long")))
+        more, members = _star(checkpoint(held.where(~F.col("fits")).select("t", "key")), grams, min_similarity)
+        links = checkpoint(links.union(more))
     return links
 
 
