@@ -7,17 +7,21 @@ import atexit
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import files
 from .functions.encoding import long_digest
-from .model import ROW_ID, KeyedSchema
+from .model import ROW_ID, KeyedSchema, parse_key_columns
+from .operators.diff import snapshot_diff
 from .operators.keyed import duplicate_keys
-from .operators.merge import merge_changes
+from .operators.merge import insert_rows, merge_changes
 from .plans.access import select_access_path
-from .plans.shape import leaf_chunks, table_info, tree_edges, tree_nodes
+from .plans.shape import inspect_node, leaf_chunks, table_info, tree_edges, tree_nodes
+from .sources.csvio import read_csv
 from .store import Snapshot, Store, with_row_ids
+from .streaming.merge import merge_stream
 
 #: Key columns of the test tables.
 KEYS = {"orders": ["o_orderkey"], "customer": ["c_nationkey", "c_custkey"], "events": ["user_id", "event_id"], "nation": ["n_regionkey", "n_nationkey"], "conversations": ["conv_id", "turn"]}
@@ -93,10 +97,10 @@ def _merge(ops: str):
 
 _KEPT = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 _MERGED = {
-    "": "{k}",
     "I": "{k} UNION ALL SELECT c_custkey + 1000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 10 = 2",
     "U": "{k} WHERE c_custkey % 10 <> 1 UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1.0::DOUBLE, 'CHANGED' FROM customer WHERE c_custkey % 10 = 1",
     "D": "{k} WHERE c_custkey % 10 <> 0",
+    "UD": "{k} WHERE c_custkey % 10 NOT IN (0, 1) UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1.0::DOUBLE, 'CHANGED' FROM customer WHERE c_custkey % 10 = 1",
     "IUD": "{k} WHERE c_custkey % 10 NOT IN (0, 1) UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1.0::DOUBLE, 'CHANGED' FROM customer WHERE c_custkey % 10 = 1 UNION ALL SELECT c_custkey + 1000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 10 = 2",
 }
 
@@ -177,6 +181,57 @@ def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").manifest().agg(F.sum("rows").alias("n"), F.min("min_key.o_orderkey").alias("low"), F.max("max_key.o_orderkey").alias("high"))
 
 
+def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table through CSV: written, read with inference, loaded and scanned."""
+    root = files.work_folder(spark)
+    _read(spark, sf_dir, "supplier").write.option("header", True).csv(f"{root}/csv")
+    rows = read_csv(spark, f"{root}/csv")
+    store = Store(spark, f"{root}/store")
+    store.write_table("supplier", rows, parse_key_columns("0", rows.columns))
+    return store.snapshot("supplier").scan()
+
+
+def insert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of new keys appended without row numbers; they go on from the table's."""
+    store = _scratch(spark, sf_dir, "nation")
+    more = _read(spark, sf_dir, "nation").withColumn("n_nationkey", F.col("n_nationkey") + 100)
+    insert_rows(store, "nation", more)
+    return store.snapshot("nation").stored().select("n_nationkey", "n_name", "n_regionkey", (F.col(ROW_ID) >= 25).alias("new_row"))
+
+
+def diff_of_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a merged batch changed, found from the two snapshots."""
+    store, changes = _scratch(spark, sf_dir, "customer"), _changes(spark, sf_dir)
+    before = store.snapshot("customer")
+    merge_changes(store, "customer", changes["I"].unionByName(changes["U"]).unionByName(changes["D"]))
+    return snapshot_diff(before, store.snapshot("customer")).select("op", "c_custkey", "c_mktsegment")
+
+
+def stream_of_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change feed merged by Structured Streaming."""
+    store, changes = _scratch(spark, sf_dir, "customer"), _changes(spark, sf_dir)
+    feed = changes["U"].unionByName(changes["D"])
+    feed.write.parquet(f"{store.root}/feed")
+    stream = spark.readStream.schema(feed.schema).parquet(f"{store.root}/feed")
+    merge_stream(store, "customer", stream, f"{store.root}/offsets").awaitTermination()
+    return store.snapshot("customer").scan()
+
+
+def commit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each commit is from the current one, and what it lists."""
+    store, changes = _scratch(spark, sf_dir, "customer"), _changes(spark, sf_dir)
+    store.write_table("nation", _read(spark, sf_dir, "nation"), KEYS["nation"])
+    merge_changes(store, "customer", changes["D"])
+    order = W.orderBy(F.desc("ts_us"))
+    return store.history().select(F.row_number().over(order).alias("age"), F.array_join("tables", ",").alias("tables"), F.col("prev_id").isNull().alias("is_first"))
+
+
+def node_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root of the digest tree with its children."""
+    _, _, nodes = _tree(spark, sf_dir)
+    return inspect_node(nodes, nodes.where("parent_id is null").first()["node_id"])
+
+
 _O = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 _C = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
@@ -214,6 +269,19 @@ NATIVE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "access_plan_estimates": (access_plan_estimates, _PLANS_SQL),
     "row_digest": (row_digest, "SELECT o_orderkey, sha256(unhex('03' || array_to_string(list_reverse(regexp_extract_all(lpad(to_hex(o_orderkey::BIGINT), 16, '0'), '..')), ''))) AS digest FROM orders"),
     "chunk_summary": (chunk_summary, "SELECT count(*) AS total_rows, true AS none_empty FROM orders"),
+    "csv_load": (csv_load, "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"),
+    "insert_rows": (
+        insert_batch,
+        "SELECT n_nationkey, n_name, n_regionkey, false AS new_row FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey, true FROM nation",
+    ),
+    "snapshot_diff": (
+        diff_of_merge,
+        "SELECT 'D' AS op, c_custkey, c_mktsegment FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'U', c_custkey, 'CHANGED' FROM customer WHERE c_custkey % 10 = 1 "
+        "UNION ALL SELECT 'I', c_custkey + 1000000, c_mktsegment FROM customer WHERE c_custkey % 10 = 2",
+    ),
+    "stream_merge": (stream_of_changes, _MERGED["UD"].format(k=_KEPT)),
+    "commit_history": (commit_history, "SELECT * FROM (VALUES (1, 'customer,nation', false), (2, 'customer,nation', false), (3, 'customer', true)) AS t(age, tables, is_first)"),
+    "inspect_root": (node_inspection, None),
     "tree_info": (tree_info, None),
     "tree_edges": (tree_links, None),
 }
