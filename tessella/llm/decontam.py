@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 #: Words per seed, and how many neighbouring n-grams of an item share one seed:
 #: any copied run of GRAM + SPREAD - 1 words holds a seed of its item.
 GRAM = 5
@@ -181,7 +183,7 @@ def _frequencies(docs: DataFrame, block: Block, text: str) -> dict[int, int]:
                 gram, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
-    counted = docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = map_batches(docs.select(text), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return {r["gram"] & (2**64 - 1): r["n"] for r in counted.collect()}
 
 
@@ -227,7 +229,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
                 if found:
                     yield pa.RecordBatch.from_pylist([{"doc_id": ids[d], "item_id": own.names[i], "score": s, "first_word": a, "end_word": b} for d, i, s, a, b in found], schema=to_arrow(schema))
 
-        part = rows.mapInArrow(run, schema)
+        part = map_batches(rows, run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -252,7 +254,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
                 clean[[d for d, *_ in own.matches(batch.column(at).to_pylist(), min_score)]] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = map_batches(out, run, docs.schema)
     return out
 
 

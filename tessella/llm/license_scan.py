@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 #: Short notices of each licence family: fixed values, public standard wordings.
 TEMPLATES = {
     "apache-2.0": [
@@ -282,4 +284,4 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_column:
                 names=schema.names,
             )
 
-    return docs.select(id_column, text).mapInArrow(run, schema)
+    return map_batches(docs.select(id_column, text), run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_values, without
+from .common import checkpoint, map_batches, without
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Distinct lines that one shard of the index holds, about.
@@ -157,7 +157,7 @@ def count_lines(docs: DataFrame, text: str = "text", min_chars: int = 1) -> Data
                 n = np.fromiter(map(held.__getitem__, keys), dtype=np.int64, count=len(keys))
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n)], names=["h1", "h2", "n"])
 
-    found = docs.mapInArrow(run, "h1 long, h2 long, n long")
+    found = map_batches(docs, run, "h1 long, h2 long, n long")
     return found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
@@ -187,37 +187,41 @@ def build_index(docs: DataFrame, min_docs: int = 10, text: str = "text", min_cha
     return checkpoint(dealt.mapInArrow(build, "shard long, shards long, lines long, bytes long, blob binary"))
 
 
-def _drop(docs: DataFrame, text: str, blobs: dict[int, bytes], shards: int, min_docs: int) -> DataFrame:
-    """``docs`` with ``__drop``: places of the lines that these shards drop."""
-    shared = docs.sparkSession.sparkContext.broadcast(blobs)
-
-    def make():
-        index = {s: LineShard.load(b) for s, b in shared.value.items()}
-
-        def fn(values):
-            keys, ends = [], []
-            for value in values:
-                keys += map(line_key, (value or "").encode().split(b"\n"))
-                ends.append(len(keys))
-            h1, h2 = _hashes(keys)
-            shard = (h1 >> np.uint64(32)) % np.uint64(shards)
-            hit = np.zeros(len(keys), dtype=bool)
-            for s, part in index.items():
-                own = np.flatnonzero(shard == s)
-                if len(own):
-                    hit[own] = part.count(h1[own], h2[own]) >= min_docs
-            starts = [0, *ends[:-1]]
-            places = np.flatnonzero(hit)
-            low, high = np.searchsorted(places, starts), np.searchsorted(places, ends)
-            return [[(places[a:b] - s).tolist() for a, b, s in zip(low, high, starts)]]
-
-        return fn
-
-    return map_values(docs, text, [T.StructField("__drop_now", T.ArrayType(T.IntegerType()))], make)
-
-
-def mark_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", min_chars: int = 1) -> DataFrame:
-    """``docs`` with ``__drop``: places of the lines to drop, from 0.
+class _Block:
+    """Some shards of the index, and the places of the lines that they drop."""
+
+    def __init__(self, blobs: dict[int, bytes], shards: int, min_docs: int):
+        self.blobs, self.shards, self.min_docs = blobs, shards, min_docs
+        self.index: dict[int, LineShard] | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"index": None}
+
+    def drops(self, values: list[str | None]) -> list[list[int]]:
+        if self.index is None:
+            self.index = {s: LineShard.load(b) for s, b in self.blobs.items()}
+        keys, ends = [], []
+        for value in values:
+            keys += map(line_key, (value or "").encode().split(b"\n"))
+            ends.append(len(keys))
+        if not keys:
+            return []
+        h1, h2 = _hashes(keys)
+        shard = (h1 >> np.uint64(32)) % np.uint64(self.shards)
+        hit = np.zeros(len(keys), dtype=bool)
+        for s, part in self.index.items():
+            own = np.flatnonzero(shard == s)
+            if len(own):
+                hit[own] = part.count(h1[own], h2[own]) >= self.min_docs
+        starts = [0, *ends[:-1]]
+        places = np.flatnonzero(hit)
+        low, high = np.searchsorted(places, starts), np.searchsorted(places, ends)
+        return [(places[a:b] - s).tolist() for a, b, s in zip(low, high, starts)]
+
+
+def with_drops(docs: DataFrame, fn, schema: T.StructType, min_docs: int = 10, text: str = "text", min_chars: int = 1) -> DataFrame:
+    """``fn(batch, drops)`` over the batches of ``docs``: ``drops`` has the
+    places of each text's lines to drop, from 0.
 
     The index is broadcast while it fits into BLOCK_BYTES. A larger one is
     taken in blocks of that size, one pass over the documents each, with the
@@ -234,14 +238,36 @@ def mark_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", min_char
         blocks[-1].append(row["shard"])
         held += row["bytes"]
     shards = sizes[0]["shards"] if sizes else 1
-    out = without(docs, ["__drop", "__drop_now"])
+    context = docs.sparkSession.sparkContext
+    rows = without(docs, ["__drop"])
+    at, names = rows.columns.index(text), rows.columns
     for k, block in enumerate(blocks):
         blobs = {r["shard"]: bytes(r["blob"]) for r in index.where(F.col("shard").isin(block)).select("shard", "blob").collect()} if block else {}
-        out = _drop(out, text, blobs, shards, min_docs)
-        out = out.withColumnRenamed("__drop_now", "__drop") if k == 0 else out.withColumn("__drop", F.concat("__drop", "__drop_now")).drop("__drop_now")
-        if k + 1 < len(blocks):
-            out = checkpoint(out)
-    return out
+        shared = context.broadcast(_Block(blobs, shards, min_docs))
+
+        def drops_of(batch: pa.RecordBatch, shared=shared) -> list[list[int]]:
+            own = shared.value.drops(batch.column(at).to_pylist())
+            if len(batch.schema.names) == len(names):
+                return own
+            return [a + b for a, b in zip(batch.column(len(names)).to_pylist(), own)]
+
+        if k + 1 == len(blocks):
+
+            def last(batches, drops_of=drops_of):
+                for batch in batches:
+                    drops = drops_of(batch)
+                    yield fn(pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names), drops)
+
+            return map_batches(rows, last, schema)
+
+        def mark(batches, drops_of=drops_of):
+            for batch in batches:
+                drops = pa.array(drops_of(batch), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], drops], names=[*names, "__drop"])
+
+        marked = T.StructType([*[f for f in rows.schema.fields if f.name != "__drop"], T.StructField("__drop", T.ArrayType(T.IntegerType()))])
+        rows = checkpoint(map_batches(rows, mark, marked))
+    raise AssertionError("there is always a block")
 
 
 def _kept(value: str, drop: list[int]) -> str:
@@ -258,44 +284,36 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, text: str = "text",
     stays null and an empty one empty: its only line has an empty key, which is
     never dropped. A document may end with an empty text. Rows count as
     documents, so repeated rows count each."""
-    marked = mark_lines(docs, min_docs, text, min_chars)
-    at, drop_at = marked.columns.index(text), marked.columns.index("__drop")
-    n_at = next((i for i, c in enumerate(marked.columns) if c == "n_chars" and marked.schema[i].dataType == T.LongType()), None)
-    schema = docs.schema
+    at = docs.columns.index(text)
+    n_at = next((i for i, f in enumerate(docs.schema.fields) if f.name == "n_chars" and f.dataType == T.LongType()), None)
 
-    def run(batches):
-        for batch in batches:
-            values, drops = batch.column(at).to_pylist(), batch.column(drop_at).to_pylist()
-            texts = [v if v is None else _kept(v, d) for v, d in zip(values, drops)]
-            arrays = [c for i, c in enumerate(batch.columns) if i != drop_at]
-            arrays[at] = pa.array(texts, type=batch.column(at).type)
-            if n_at is not None:
-                olds = batch.column(n_at).to_pylist()
-                arrays[n_at] = pa.array([o if not d or t is None else len(t) for o, d, t in zip(olds, drops, texts)], type=pa.int64())
-            yield pa.RecordBatch.from_arrays(arrays, names=[c for i, c in enumerate(batch.schema.names) if i != drop_at])
+    def fn(batch: pa.RecordBatch, drops: list[list[int]]) -> pa.RecordBatch:
+        texts = [v if v is None else _kept(v, d) for v, d in zip(batch.column(at).to_pylist(), drops)]
+        arrays = list(batch.columns)
+        arrays[at] = pa.array(texts, type=batch.column(at).type)
+        if n_at is not None:
+            olds = batch.column(n_at).to_pylist()
+            arrays[n_at] = pa.array([o if not d or t is None else len(t) for o, d, t in zip(olds, drops, texts)], type=pa.int64())
+        return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
-    assert drop_at == len(marked.columns) - 1 and marked.columns[:-1] == docs.columns
-    return marked.mapInArrow(run, schema)
+    return with_drops(docs, fn, docs.schema, min_docs, text, min_chars)
 
 
 def line_digest(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 per row of ``docs``; a null text
     counts as empty: one line, none dropped. An empty table gives no rows."""
-    marked = mark_lines(docs.select("doc_id", "text"), min_docs)
 
-    def run(batches):
-        for batch in batches:
-            ids, values, drops = (batch.column(i) for i in range(3))
-            values, drops = [v or "" for v in values.to_pylist()], drops.to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    pa.array([v.count("\n") + 1 for v in values], type=pa.int64()),
-                    pa.array([len(d) for d in drops], type=pa.int64()),
-                    pa.array([hashlib.sha256(_kept(v, d).encode()).hexdigest() for v, d in zip(values, drops)], type=pa.string()),
-                ],
-                names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
-            )
+    def fn(batch: pa.RecordBatch, drops: list[list[int]]) -> pa.RecordBatch:
+        values = [v or "" for v in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array([v.count("\n") + 1 for v in values], type=pa.int64()),
+                pa.array([len(d) for d in drops], type=pa.int64()),
+                pa.array([hashlib.sha256(_kept(v, d).encode()).hexdigest() for v, d in zip(values, drops)], type=pa.string()),
+            ],
+            names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
+        )
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return marked.mapInArrow(run, schema)
+    return with_drops(docs.select("doc_id", "text"), fn, schema, min_docs)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 #: The base patterns, and the least characters of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -312,4 +314,4 @@ def scan_secrets(docs: DataFrame, model: FormatModel | None = None, id_column: s
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(out, kinds)]], names=schema.names)
 
-    return docs.select(id_column, text).mapInArrow(run, schema)
+    return map_batches(docs.select(id_column, text), run, schema)

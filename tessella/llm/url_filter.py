@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import map_batches, without
 
 #: Fixed rules of the contract: verdict, then host and path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -191,7 +191,7 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, st
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
-    scored = rows.mapInArrow(run, schema)
+    scored = map_batches(rows, run, schema)
     verdict = F.coalesce(F.col("__rule")["verdict"], F.when(F.col("__p") >= BLOCK_AT, "block").otherwise("allow"))
     kept = without(scored, ["host", "path", "rule", "verdict", "p_block", "__host", "__path", "__rule", "__p"]).columns
     return scored.select(
