@@ -30,6 +30,8 @@ MINIMA = 4
 #: Texts and shingles of a candidate component, or of a bucket, that one task resolves.
 TASK_TEXTS = 4096
 TASK_SHINGLES = 3_000_000
+#: Edges (two numbers each) that one task joins up.
+TASK_EDGES = 500_000
 #: Rows of a narrow side (a text's or document's number) that are broadcast.
 BROADCAST_ROWS = 1_000_000
 CHUNK_CHARS = 1_000_000
@@ -241,11 +243,39 @@ def _kinds(fields: list[T.StructField]) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in fields]
 
 
+def _join_up(batches):
+    """Least labels of all components of (a, b) rows, by union-find."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for at in range(0, len(nodes), 50_000):
+        own = nodes[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([find(x) for x in own], pa.int64())], names=["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each node's component, by spreading
-    least labels over edges (a, b) and jumping along them. Labels and edges stay
-    distributed; each round is cut with a checkpoint."""
-    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    """(node, label): the least node of each node's component.
+
+    Up to TASK_EDGES edges, one task on an executor joins them up. Beyond, least
+    labels spread over the edges and jump along them until none changes; labels
+    and edges stay distributed, and each round is cut with a checkpoint.
+    """
+    edges = checkpoint(edges.select("a", "b").where("a <> b").distinct())
+    if edges.count() <= TASK_EDGES:
+        return checkpoint(map_batches(edges.repartition(1), _join_up, "node long, label long"))
+    both = checkpoint(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))

@@ -293,7 +293,8 @@ def check_classes(got, rows, want):
 def test_near_classes_match_brute_force(spark, monkeypatch, texts):
     """With a small bound the components go bucket by bucket and by hubs."""
     monkeypatch.setattr(near_dedup, "TASK_TEXTS", texts)
-    rows = near_rows()
+    monkeypatch.setattr(near_dedup, "TASK_EDGES", 500_000 if texts > 3 else 10)
+    rows = near_rows(families=6 if texts > 3 else 3)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = brute_classes(rows)
     check_classes(near_dedup.near_classes(docs).collect(), rows, want)
@@ -337,7 +338,10 @@ def test_words_are_hashed_alike_anywhere():
     assert len(set(near_dedup.word_hashes([" ".join(f"w{i}" for i in range(5000))])[0].tolist())) == 5000
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges", [500_000, 0])
+def test_components(spark, monkeypatch, edges):
+    """In one task, and spread over the cluster."""
+    monkeypatch.setattr(near_dedup, "TASK_EDGES", edges)
     chain = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 3), (100, 200)]
     got = {r["node"]: r["label"] for r in near_dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: i // 10 * 10 for i in range(40)}, 100: 0, 200: 0}
