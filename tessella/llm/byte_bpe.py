@@ -6,6 +6,8 @@ import base64
 import gc
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,12 +16,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import map_batches, map_values
+
 #: Determinised steps, checked pairs and encoded pieces that a worker keeps; what
 #: comes later is worked out each time, so memory is bounded and results are the same.
-MAX_STEPS = 400_000
-MAX_PAIRS = 250_000
-MAX_PIECES = 250_000
-MAX_CHUNKS = 300_000
+MAX_STEPS = 220_000
+MAX_PAIRS = 150_000
+MAX_PIECES = 120_000
+MAX_CHUNKS = 200_000
 #: The fixed pattern whose matches never cross a single space between two
 #: characters that aren't white space; texts are then split there first.
 SPACE_SAFE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -62,17 +66,31 @@ class MergeTransducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t) + 1)}
-        self.bytes_complete = all(bytes([i]) in ranks for i in range(256))
-        if not self.bytes_complete:
+        if not all(bytes([i]) in ranks for i in range(256)):
             raise ValueError("every single byte needs a rank")
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        #: The tokens as a trie: node * 256 + byte to a node; the token at a node.
+        self.trie: dict[int, int] = {}
+        self.token_at: list[int] = [-1]
+        self.tokens: dict[int, bytes] = {}
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                at = self.trie.get(node << 8 | byte)
+                if at is None:
+                    at = self.trie[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                node = at
+            self.token_at[node] = rank
+            self.tokens[rank] = token
+        #: Stands for the last token at the start of a piece.
+        self.none = max(ranks.values()) + 1
+        self.pairs: dict[int, bool] = {}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
-        start = (((), b"", b""),)
+        start = (((), self.none, 0),)
         self.states: list[tuple] = [start]
         self.ids: dict[tuple, int] = {start: 0}
-        self.steps: list[dict[int, tuple]] = [{}]
-        self.n_steps = 0
+        #: State * 256 + byte to the next state, with what is emitted if anything is.
+        self.steps: dict[int, int | tuple] = {}
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts that the token's last merge joins; None for a byte."""
@@ -87,35 +105,33 @@ class MergeTransducer:
             self.halves[token] = known
         return known
 
+    def _join(self, last: int, token: int) -> bool:
+        """``may_stand`` by ranks, kept."""
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        stands = self.may_stand(b"", self.tokens[token]) and (last == self.none or self.may_stand(self.tokens[last], self.tokens[token]))
+        self.pairs[last << 24 | token] = stands
+        return stands
+
     def may_stand(self, a: bytes, b: bytes) -> bool:
         """Whether b may follow a (a empty: whether b may stand at all).
 
         The last merges on either side are undone from the latest to the
         earliest; the parts that then touch must not join earlier than that.
         """
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
-        if len(self.pairs) >= MAX_PAIRS:
-            self.pairs.clear()
-        rank, known = self.ranks.get, True
         if not a:
-            known = merge_all(b, self.ranks) == [b]
-        else:
-            left, right, latest = a, b, 1 << 60
-            while True:
-                if rank(left + right, 1 << 60) < latest:
-                    known = False
-                    break
-                ends, begins = self._halves(left), self._halves(right)
-                if ends and (not begins or rank(left) > rank(right)):
-                    latest, left = rank(left), ends[1]
-                elif begins:
-                    latest, right = rank(right) + 1, begins[0]
-                else:
-                    break
-        self.pairs[a, b] = known
-        return known
+            return len(b) == 1 or self._halves(b) is not None and merge_all(b, self.ranks) == [b]
+        rank, left, right, latest = self.ranks.get, a, b, 1 << 60
+        while True:
+            if rank(left + right, 1 << 60) < latest:
+                return False
+            ends, begins = self._halves(left), self._halves(right)
+            if ends and (not begins or rank(left) > rank(right)):
+                latest, left = rank(left), ends[1]
+            elif begins:
+                latest, right = rank(right) + 1, begins[0]
+            else:
+                return True
 
     def _step(self, state: int | tuple, byte: int) -> tuple:
         """Emitted ids and next state, made when first asked for. With the
@@ -123,36 +139,38 @@ class MergeTransducer:
         known = type(state) is int
         emitted, after = self._move(self.states[state] if known else state, byte)
         at = self.ids.get(after)
-        if self.n_steps >= MAX_STEPS:
+        if len(self.steps) >= MAX_STEPS:
             return emitted, after if at is None else at
         if at is None:
             at = self.ids[after] = len(self.states)
             self.states.append(after)
-            self.steps.append({})
         if known:
-            self.steps[state][byte] = (emitted, at)
-            self.n_steps += 1
+            self.steps[state << 8 | byte] = (emitted, at) if emitted else at
         return emitted, at
 
     def _move(self, open_: tuple, byte: int) -> tuple:
         after, ended = [], None
-        add = bytes((byte,))
-        for written, last, since in open_:
-            now = since + add
-            if now in self.prefixes:
+        trie, pairs, token_at = self.trie.get, self.pairs.get, self.token_at
+        for written, last, node in open_:
+            now = trie(node << 8 | byte)
+            if now is not None:
                 after.append((written, last, now))
-                if ended is None and now in self.ranks and self.may_stand(b"", now) and (not last or self.may_stand(last, now)):
-                    ended = ((*written, self.ranks[now]), now, b"")
+                if ended is None and (token := token_at[now]) >= 0:
+                    stands = pairs(last << 24 | token)
+                    if self._join(last, token) if stands is None else stands:
+                        ended = ((*written, token), token, 0)
         if ended is None:
             raise ValueError("the ranks give no encoding")
         after.append(ended)
         first = after[0][0]
+        if not first:
+            return (), tuple(after)
         same = len(first)
         for written, _, _ in after[1:]:
             same = min(same, len(written))
             while first[:same] != written[:same]:
                 same -= 1
-        return first[:same], tuple((w[same:], last, since) for w, last, since in after)
+        return first[:same], tuple([(w[same:], last, node) for w, last, node in after]) if same else tuple(after)
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece. A piece that is a token stays whole."""
@@ -162,10 +180,13 @@ class MergeTransducer:
         out: list[int] = []
         steps, state = self.steps, 0
         for byte in piece:
-            step = (steps[state].get(byte) if type(state) is int else None) or self._step(state, byte)
-            if step[0]:
-                out += step[0]
-            state = step[1]
+            step = steps.get(state << 8 | byte) if type(state) is int else None
+            if type(step) is int:
+                state = step
+                continue
+            emitted, state = step or self._step(state, byte)
+            if emitted:
+                out += emitted
         out += (self.states[state] if type(state) is int else state)[-1][0]
         return out
 
@@ -242,6 +263,14 @@ def splitter(pattern: str):
         return regex.compile(pattern).findall
 
 
+def _raw(ids: list[int]) -> bytes:
+    """Little-endian 32-bit integers."""
+    held = array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 class _Pieces(dict):
     """Piece to its ids as little-endian 32-bit bytes."""
 
@@ -250,7 +279,7 @@ class _Pieces(dict):
         self.machine = machine
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.machine.encode(piece.encode()), dtype="<u4").tobytes()
+        ids = _raw(self.machine.encode(piece.encode()))
         if len(self) < MAX_PIECES and len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -335,8 +364,6 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int). One narrow map, no shuffle. A null
     text gives no ids. An input column of that name is replaced."""
-    from .common import map_values
-
     def make():
         encode = coder(path, pattern).encode
         return lambda values: [[encode(v or "") for v in values]]
@@ -346,8 +373,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """``docs`` with ``decoded`` from its ids; null ids give an empty text."""
-    from .common import map_values
-
     def make():
         decode = coder(path, pattern).decode_stream
         return lambda values: [["".join(decode(v or [])) for v in values]]
@@ -386,4 +411,4 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
     schema = T.StructType(
         [docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     )
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
