@@ -44,10 +44,11 @@ def _listed(words: list[str]):
     return lambda word: word.isin(forms)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, text: str = "text", base: bool = True) -> DataFrame:
     """``docs`` with ``__q``: the base counts, the histograms and the language
     whose common words the text holds most of. Everything is worked out inside
     the row, so nothing is shuffled, however often a word or line is repeated.
+    Without ``base`` the counts of repeats, which references don't need, are 0.
     """
     rows = without(docs, ["__q"])
     names = rows.columns
@@ -62,13 +63,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         total=F.length(t),
         words=F.filter(F.split(t, f"{_WHITE}+"), lambda w: w != ""),
         r1=cut(t, "[a-z]+"),
-        lines=F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        lines=F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")) if base else F.array().cast("array<string>"),
     )
     b = _once(
         a,
         [*own_columns, "total"],
         n_words=F.size("words").cast("long"),
-        hashes=F.transform("words", lambda w: F.xxhash64(w)),
+        hashes=F.transform("words", lambda w: F.xxhash64(w)) if base else F.array().cast("array<long>"),
         common=F.filter("words", _listed(every)),
         lower=F.col("total") - F.length("r1"),
         r2=cut(F.col("r1"), f"{_WHITE}+"),
@@ -81,7 +82,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         [*own_columns, "n_words", "common", "n_dup_lines", "lower"],
         word_chars=(F.col("lower") + F.length("r2")).cast("long"),
         n_symbols=(F.length("r2") - F.length(cut(F.col("r2"), "[#*$%&|<>]+"))).cast("long"),
-        windows=F.when(F.col("n_words") >= 5, F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 5), window)).otherwise(F.array().cast("array<long>")),
+        windows=F.when(F.lit(base) & (F.col("n_words") >= 5), F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 5), window)).otherwise(F.array().cast("array<long>")),
         r2=F.col("r2"),
         r3=cut(F.col("r2"), "[A-Z]+"),
         hits=F.array(*[F.struct(h.alias("n"), F.lit(lang).alias("lang")) for lang, h in hits.items()]),
@@ -142,7 +143,7 @@ def fit_references(docs: DataFrame, text: str = "text") -> dict[str, dict[str, d
     classes and of the common words. One pass over all documents; what reaches
     the driver is at most languages x (classes + common words) sums, a bound
     that the input does not move."""
-    q = measure(docs.select(text), text).select("__q.*")
+    q = measure(docs.select(text), text, base=False).select("__q.*")
     q = q.where((F.col("n_words") >= MIN_WORDS) & (F.col("word_chars") >= MIN_CHARS) & F.col("lang").isNotNull())
     unit = lambda n, of: F.floor(n.cast("long") * UNIT / F.greatest(of, F.lit(1))).cast("long")
     shares = F.concat(
