@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, decontam, langid, license_scan, line_dedup, near_dedup, quality, secret_scan, sharding, url_filter
 from .common import read_table
+from .quality_sql import quality_sql
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +83,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_quality_rules": quality_sql(),
     "op8_line_dedup": OP8_SQL,
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tessella.llm import byte_bpe, langid, license_scan, quality, secret_scan, url_filter
-from tessella.llm.queries import QUERIES
+from tessella.llm.queries import ORACLES, QUERIES
 
 from .cases import LONG, PROSE, empty_docs, odd_docs, odd_rows
 
@@ -266,6 +266,14 @@ def test_quality_matches_brute_force(spark, duck):
         assert (r["base_failed"], r["kept"]) == brute_keeps(text or "", references), doc_id
 
 
+def test_quality_matches_sql(spark, duck):
+    df = QUERIES["op4_quality_rules"](spark, SF)
+    cursor = duck.execute(ORACLES["op4_quality_rules"])
+    names = [c[0] for c in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    assert Counter(tuple(r[c] for c in names) for r in df.collect()) == Counter(cursor.fetchall())
+
+
 def test_quality_references_are_mean_shares(spark, duck):
     references = quality.fit_references(spark.read.parquet(f"{SF}/documents.parquet"))
     sums, n = {}, Counter()
