@@ -16,14 +16,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_batches, map_values
+from .common import drops_when_idle, map_batches, map_values
 
 #: Determinised steps, checked pairs and encoded pieces that a worker keeps; what
 #: comes later is worked out each time, so memory is bounded and results are the same.
-MAX_STEPS = 220_000
+MAX_STEPS = 250_000
 MAX_PAIRS = 150_000
-MAX_PIECES = 120_000
-MAX_CHUNKS = 200_000
+MAX_PIECES = 140_000
+MAX_CHUNKS = 220_000
 #: The fixed pattern whose matches never cross a single space between two
 #: characters that aren't white space; texts are then split there first.
 SPACE_SAFE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -292,14 +292,23 @@ class _Odd(Exception):
 class _Chunks(dict):
     """What stands between two single spaces to the ids of a space and it."""
 
-    def __init__(self, whole):
+    def __init__(self, whole, pieces: _Pieces):
         super().__init__()
-        self.whole = whole
+        self.whole, self.pieces = whole, pieces
+        letters, numbers, white = (_ranges(k) for k in (r"\p{L}", r"\p{N}", r"\s"))
+        #: Letters, then marks: two pieces, the first with the space.
+        self.plain = re.compile(f"([{letters}]+)([^{white}{letters}{numbers}]*)").fullmatch
 
     def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        if found := self.plain(chunk):
+            word, marks = found.groups()
+            ids = self.pieces[" " + word]
+            if marks:
+                ids += self.pieces[marks]
+        elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Odd
-        ids = self.whole(" " + chunk)
+        else:
+            ids = self.whole(" " + chunk)
         if len(self) < MAX_CHUNKS and len(chunk) <= 64:
             self[chunk] = ids
         return ids
@@ -311,7 +320,7 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.split = splitter(pattern)
         self.pieces = _Pieces(MergeTransducer(ranks))
-        self.chunks = _Chunks(self._whole) if pattern == SPACE_SAFE else None
+        self.chunks = _Chunks(self._whole, self.pieces) if pattern == SPACE_SAFE else None
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -343,15 +352,18 @@ class ByteBpe:
 
 
 _CODERS: dict[tuple[str, str], ByteBpe] = {}
+drops_when_idle(_CODERS.clear)
 
 
 def coder(path: str, pattern: str) -> ByteBpe:
     """The worker's coder for a vocabulary file; made once per process."""
-    if (path, pattern) not in _CODERS:
+    made = _CODERS.get((path, pattern))
+    if made is None:
         gc.set_threshold(100_000, 50, 100)  # the tables hold no cycles
+        made = ByteBpe(load_ranks(path), pattern)
         _CODERS.clear()
-        _CODERS[path, pattern] = ByteBpe(load_ranks(path), pattern)
-    return _CODERS[path, pattern]
+        _CODERS[path, pattern] = made
+    return made
 
 
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:

@@ -3,7 +3,10 @@ materialisation, and Arrow-batched column mapping."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -50,13 +53,56 @@ def materialise(df: DataFrame) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers wait for their next task, and
+    what they hold meanwhile is missing elsewhere on the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Seconds after its last task from which a waiting worker drops its tables.
+IDLE_SECONDS = 2.0
+_TABLES: list[Callable[[], None]] = []
+_WAITING: list[threading.Timer] = []
+
+
+def drops_when_idle(clear: Callable[[], None]) -> None:
+    """Have ``clear`` called in a worker that has waited for IDLE_SECONDS."""
+    _TABLES.append(clear)
+
+
+def _drop_tables() -> None:
+    for clear in _TABLES:
+        clear()
+    give_back()
+
+
+def _wait(on: bool) -> None:
+    """Start or stop the worker's clock."""
+    while _WAITING:
+        _WAITING.pop().cancel()
+    if on and _TABLES:
+        timer = threading.Timer(IDLE_SECONDS, _drop_tables)
+        timer.daemon = True
+        _WAITING.append(timer)
+        timer.start()
+
+
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` in batches of BATCH_BYTES, a bound that holds for the
     session from then on."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name) != f"{BATCH_BYTES}b":
         conf.set(name, f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        _wait(False)
+        yield from run(batches)
+        give_back()
+        _wait(True)
+
+    return df.mapInArrow(task, schema)
 
 
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:

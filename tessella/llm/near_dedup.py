@@ -34,7 +34,7 @@ TASK_SHINGLES = 3_000_000
 TASK_EDGES = 500_000
 #: Rows of a narrow side (a text's or document's number) that are broadcast.
 BROADCAST_ROWS = 1_000_000
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 
 _SEEDS = np.array([(0xD6E8FEB86659FD93 * (2 * j + 1)) & (2**64 - 1) for j in range(64)], dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -130,7 +130,7 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     labels = labelled(grams)
     keep = min(MINIMA, len(grams))
     out = np.empty(SKETCHES, dtype=np.uint64)
-    block = max(1, 4_000_000 // len(grams))
+    block = max(1, 1_000_000 // len(grams))
     with np.errstate(over="ignore"):
         for a in range(0, SKETCHES, block):
             seeds = _SEEDS[a : min(a + block, SKETCHES), None]
