@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 #: Subwords: n-grams of letters with a mark on either side of a word.
 GRAMS = (2, 3, 4)
 BITS = 14
@@ -218,23 +220,31 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
     """(text, lang) of the labelled rows that are not held out: of the
     ``max_langs`` most frequent languages the ``rows_per_lang`` with the least
-    hash of id and text. The hashes are ranked without the texts (each task
-    keeps at most ``rows_per_lang`` per language), and only the texts under the
-    bound are read; at most languages x rows reach the driver."""
+    hash of id and length. With a language's row count known, only hashes under
+    a limit that leaves about three times as many rows are ranked, and only the
+    texts of those ranked in are read; at most languages x rows reach the driver.
+    """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    langs = [r["lang"] for r in counts]
-    if not langs:
+    if not counts:
         return []
-    own = rows.where(F.col("lang").isin(langs)).select("lang", "text", F.xxhash64("doc_id", F.octet_length("text")).alias("h"))
+    #: Hashes are uniform over 64 bits; a small language is ranked whole.
+    limits = {r["lang"]: int(2**64 * min(1.0, 3 * rows_per_lang / r["count"])) - 2**63 for r in counts}
+
+    def under(limit: dict[str, int]) -> Column:
+        tests = [(F.col("lang") == lang) & (F.col("h") <= F.lit(min(h, 2**63 - 1))) for lang, h in limit.items()]
+        out = tests[0]
+        for test in tests[1:]:
+            out = out | test
+        return out
+
+    own = rows.select("lang", "text", F.xxhash64("doc_id", F.octet_length("text")).alias("h"))
     order = W.partitionBy("lang").orderBy("h")
-    ranked = own.select("lang", "h").withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_per_lang)
+    ranked = own.select("lang", "h").where(under(limits)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_per_lang)
     bounds = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    under = None
-    for lang, h in bounds.items():
-        test = (F.col("lang") == lang) & (F.col("h") <= h)
-        under = test if under is None else under | test
-    chosen = own.where(under).orderBy("lang", "h", "text").limit(rows_per_lang * len(langs))
+    if not bounds:
+        return []
+    chosen = own.where(under(bounds)).orderBy("lang", "h", "text").limit(rows_per_lang * len(bounds))
     return [(r["text"], r["lang"]) for r in chosen.collect()]
 
 
@@ -264,4 +274,4 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None = None) -> Da
             lang, score, accepted = own.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
