@@ -20,10 +20,10 @@ from .common import drops_when_idle, map_batches, map_values
 
 #: Determinised steps, checked pairs and encoded pieces that a worker keeps; what
 #: comes later is worked out each time, so memory is bounded and results are the same.
-MAX_STEPS = 250_000
-MAX_PAIRS = 150_000
-MAX_PIECES = 140_000
-MAX_CHUNKS = 220_000
+MAX_STEPS = 400_000
+MAX_PAIRS = 200_000
+MAX_PIECES = 250_000
+MAX_CHUNKS = 300_000
 #: The fixed pattern whose matches never cross a single space between two
 #: characters that aren't white space; texts are then split there first.
 SPACE_SAFE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
