@@ -1,5 +1,5 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages,
-Smith-Waterman alignment of words scores them."""
+"""Benchmark decontamination: passages that hold enough of an item's rarer words
+are candidates, Smith-Waterman alignment of words scores them."""
 
 from __future__ import annotations
 
@@ -15,10 +15,8 @@ from pyspark.sql import types as T
 
 from .common import map_batches
 
-#: Words per seed, and how many neighbouring n-grams of an item share one seed:
-#: any copied run of GRAM + SPREAD - 1 words holds a seed of its item.
-GRAM = 5
-SPREAD = 2
+#: Items of fewer words count where they stand whole, word for word.
+WHOLE = 5
 #: Scores of the alignment, and the least share of an item's best possible score.
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
@@ -26,6 +24,8 @@ MIN_SCORE = 0.5
 BLOCK_BYTES = 16 << 20
 #: Characters of documents that are looked through at once.
 CHUNK_CHARS = 1_000_000
+#: Pairs of a document's word and an item that holds it, worked on at once.
+MAX_PAIRS = 2_000_000
 
 _words = re.compile(r"[^\W_]+").findall
 
@@ -35,23 +35,6 @@ def words_of(text: str | None) -> list[str]:
     return _words((text or "").casefold())
 
 
-def gram_hashes(ids: np.ndarray) -> np.ndarray:
-    """Hash of each GRAM consecutive ids; 0 where one of them is 0 (no item's word)."""
-    n = len(ids) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    u = ids.astype(np.uint64)
-    h, whole = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
-    with np.errstate(over="ignore"):
-        for k in range(GRAM):
-            h = (h + u[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-            whole &= ids[k : n + k] != 0
-    h |= np.uint64(1)
-    h[~whole] = 0
-    return h
-
-
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: score, and the ends (exclusive) in item and text."""
     steps = np.arange(len(text) + 1, dtype=np.int32) * -GAP
@@ -68,137 +51,149 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, at_item, at_text
 
 
+def common_length(item: np.ndarray, text: np.ndarray, marked: np.ndarray) -> int:
+    """Longest common subsequence of two sequences of words; ``marked`` are the item's."""
+    places: dict[int, int] = {}
+    at = np.flatnonzero(marked[text])
+    for k, word in enumerate(text[at].tolist()):
+        places[word] = places.get(word, 0) | 1 << k
+    every = row = (1 << len(at)) - 1
+    for word in item.tolist():
+        same = row & places.get(word, 0)
+        row = ((row + same) | (row - same)) & every
+    return len(at) - row.bit_count()
+
+
 class Block:
-    """Test items of one block: their word ids, and where each seed stands."""
+    """Test items of one block: their word ids, and what a passage must hold of
+    each to reach its least score.
+
+    An alignment with M matches and E errors scores MATCH * M - E at most, so one
+    of ``min_score`` has M >= min_score * n matches of an item's n words, in at
+    most n + MATCH * n * (1 - min_score) words of text. Whatever those matches
+    are, leaving out x of the item's words, the commonest, leaves M - x: passages
+    with fewer of the other words are no leak, and no leak is lost.
+    """
 
-    def __init__(self, items: list[tuple[object, str | None]]):
+    def __init__(self, items: list[tuple[object, str | None]], min_score: float = MIN_SCORE):
         self.names = [name for name, _ in items]
         lists = [words_of(text) for _, text in items]
         self.vocab = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for words in lists for w in words))}
         self.ids = [np.fromiter(map(self.vocab.__getitem__, words), dtype=np.int64, count=len(words)) for words in lists]
-        self.grams = [gram_hashes(ids) for ids in self.ids]
-        self.use(np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *self.grams])))
-
-    def use(self, seeds: np.ndarray) -> None:
-        """Look for these hashes only (sorted, distinct)."""
-        self.seeds = seeds
-        self.sieve = np.zeros(1 << 22, dtype=bool)
-        self.sieve[(seeds >> np.uint64(42)).astype(np.int64)] = True
-        at: dict[int, list[tuple[int, int]]] = {}
-        known = set(seeds.tolist())
-        for i, grams in enumerate(self.grams):
-            for k, h in enumerate(grams.tolist()):
-                if h in known:
-                    at.setdefault(h, []).append((i, k))
-        self.at = at
-
-    def choose_rare(self, frequency: dict[int, int]) -> None:
-        """Of every SPREAD neighbouring n-grams of an item, the one that the
-        fewest documents hold is a seed."""
-        chosen: set[int] = set()
-        for grams in self.grams:
-            own = [(frequency.get(h, 0), k, h) for k, h in enumerate(grams.tolist())]
-            for k in range(max(1, len(own) - SPREAD + 1)):
-                if own[k : k + SPREAD]:
-                    chosen.add(min(own[k : k + SPREAD])[2])
-        self.use(np.array(sorted(chosen), dtype=np.uint64))
-
-    def __getstate__(self):
-        return {"names": self.names, "vocab": self.vocab, "ids": self.ids, "grams": self.grams, "seeds": self.seeds}
-
-    def __setstate__(self, state):
-        self.__dict__ |= state
-        self.use(self.seeds)
-
-    def hits(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text with a seed: its place, word ids, seed places, seed hashes."""
+        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        self.share = np.where(sizes < WHOLE, 1.0, min_score)
+        least = np.maximum(1, np.ceil(self.share * sizes - 1e-9).astype(np.int64))
+        self.span = np.floor(sizes + MATCH * sizes * (1 - self.share) + 1e-9).astype(np.int64)
+        holders = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *map(np.unique, self.ids)]), minlength=len(self.vocab) + 1)
+        self.least, self.need, words, owners = least.copy(), MATCH * self.share * sizes, [], []
+        for i, own in enumerate(self.ids):
+            word, times = np.unique(own, return_counts=True)
+            order = np.lexsort((word, holders[word]))[::-1]
+            out = np.cumsum(times[order]) <= least[i] // 2
+            self.least[i] -= int(times[order][out].sum())
+            self.need[i] -= (1 + MATCH) * int(times[order][out].sum())
+            words.append(word[order][~out])
+            owners.append(np.full(len(words[-1]), i))
+        word, owner = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (words, owners))
+        #: Items by word: those of word w are ``items[first[w] : first[w + 1]]``.
+        self.items = owner[np.argsort(word, kind="stable")].astype(np.int32)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(self.vocab) + 1))])
+
+    def _held(self, ids: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(items, places): the last of an item's rarer words in every passage of
+        ``ids`` that holds enough of them."""
+        count = self.first[ids + 1] - self.first[ids]
+        place = np.flatnonzero(count)
+        if not len(place):
+            return
+        ends = np.cumsum(count[place])
+        reach = int(self.span.max())
+        start = 0
+        while start < len(place):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + MAX_PAIRS)))
+            # Passages that begin before the next slice may end in it.
+            until = int(np.searchsorted(place, place[stop - 1] + reach, side="right"))
+            own = place[start:until]
+            n = count[own]
+            at = np.repeat(own, n)
+            item = self.items[np.arange(len(at)) + np.repeat(self.first[ids[own]] - (np.cumsum(n) - n), n)]
+            order = np.argsort(item, kind="stable")
+            item, at = item[order], at[order]
+            rank = np.arange(len(item))
+            # M matches in L words leave L - M errors at least: with 1 + MATCH for
+            # a match and -1 for a word, some run of words reaches the score.
+            group = np.cumsum(np.concatenate([[0], (item[1:] != item[:-1]) | (owner[at[1:]] != owner[at[:-1]])]))
+            value = (1 + MATCH) * rank - at - group * ((2 + MATCH) * len(ids) + MAX_PAIRS)
+            ok = value - np.minimum.accumulate(value) + MATCH >= self.need[item] - 1e-9
+            before = rank - self.least[item] + 1
+            ok &= before >= 0
+            before = np.maximum(before, 0)
+            ok &= (group[before] == group) & (at - at[before] < self.span[item])
+            yield item[ok], at[ok]
+            start = stop
+
+    def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int]]:
+        """(text, item, score, first word, end word) of every item that a text
+        holds; an item's best place in the text counts."""
         start = 0
         while start < len(texts):
             stop, chars = start, 0
             while stop < len(texts) and (stop == start or chars < CHUNK_CHARS):
                 chars += len(texts[stop] or "")
                 stop += 1
-            lists = [words_of(t) for t in texts[start:stop]]
-            sizes = np.array([len(x) + GRAM for x in lists])
-            ids = np.zeros(int(sizes.sum()), dtype=np.int64)
-            get, at = self.vocab.get, 0
-            for words in lists:
-                ids[at : at + len(words)] = np.fromiter(map(get, words, repeat(0)), dtype=np.int64, count=len(words))
-                at += len(words) + GRAM
-            h = gram_hashes(ids)
-            place = np.flatnonzero(self.sieve[(h >> np.uint64(42)).astype(np.int64)] & (h != 0))
-            if len(place) and len(self.seeds):
-                found = np.minimum(np.searchsorted(self.seeds, h[place]), len(self.seeds) - 1)
-                place = place[self.seeds[found] == h[place]]
-                begins = np.concatenate([[0], np.cumsum(sizes)])
-                owner = np.searchsorted(begins, place, side="right") - 1
-                for doc in np.unique(owner):
-                    mine = place[owner == doc]
-                    a = begins[doc]
-                    yield start + int(doc), ids[a : a + len(lists[doc])], mine - a, h[mine]
+            yield from self._matches(texts[start:stop], start)
             start = stop
 
-    def matches(self, texts: list[str | None], min_score: float = MIN_SCORE) -> Iterator[tuple[int, int, float, int, int]]:
-        """(text, item, score, first word, end word) of every item that a text
-        holds; an item's best place in the text counts."""
-        for doc, ids, places, hashes in self.hits(texts):
-            starts: dict[int, list[int]] = {}
-            for p, h in zip(places.tolist(), hashes.tolist()):
-                for item, k in self.at[h]:
-                    starts.setdefault(item, []).append(p - k)
-            for item, begins in starts.items():
-                own, best = self.ids[item], (0, 0, 0, 0)
-                pad = len(own) // 2 + GRAM
-                low = high = None
-                windows = []
-                for b in sorted(set(begins)):
-                    if high is not None and b - pad <= high:
-                        high = max(high, b + len(own) + pad)
-                    else:
-                        if high is not None:
-                            windows.append((low, high))
-                        low, high = b - pad, b + len(own) + pad
-                windows.append((low, high))
-                for low, high in windows:
-                    low = max(0, low)
-                    score, end_item, end = align(own, ids[low:high])
-                    if score > best[0]:
-                        best = (score, low, end_item, low + end)
-                score, low, end_item, end = best
-                if score >= min_score * MATCH * len(own):
-                    back = align(own[:end_item][::-1], ids[low:end][::-1])
-                    yield doc, item, score / (MATCH * len(own)), end - back[2], end
-
-
-def _frequencies(docs: DataFrame, block: Block, text: str) -> dict[int, int]:
-    """Documents that hold each n-gram of the block's items, over all documents.
-    Summed map-side; the result has at most one row per n-gram of the block."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches):
-        own = shared.value
-        for batch in batches:
-            found = [np.unique(h) for _, _, _, h in own.hits(batch.column(0).to_pylist())]
-            if found:
-                gram, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    counted = map_batches(docs.select(text), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"] & (2**64 - 1): r["n"] for r in counted.collect()}
-
-
-def item_blocks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> Iterator[Block]:
-    """The test items in blocks of about BLOCK_BYTES, seeds chosen by how many
-    documents hold them. Items of fewer than GRAM words have no seed."""
+    def _matches(self, texts: list[str | None], first: int) -> Iterator[tuple[int, int, float, int, int]]:
+        lists = [words_of(t) for t in texts]
+        sizes = np.array([len(x) for x in lists])
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.zeros(int(begins[-1]), dtype=np.int64)
+        for a, words in zip(begins.tolist(), lists):
+            ids[a : a + len(words)] = np.fromiter(map(self.vocab.get, words, repeat(0)), dtype=np.int64, count=len(words))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        found: dict[tuple[int, int], list[list[int]]] = {}
+        for items, places in self._held(ids, owner):
+            docs = owner[places]
+            lows, highs = np.maximum(places - self.span[items] + 1, begins[docs]), np.minimum(places + self.span[items], begins[docs + 1])
+            for doc, item, low, high in zip(docs.tolist(), items.tolist(), lows.tolist(), highs.tolist()):
+                windows = found.setdefault((doc, item), [])
+                if windows and low <= windows[-1][1]:
+                    windows[-1][1] = max(windows[-1][1], high)
+                else:
+                    windows.append([low, high])
+        marked = np.zeros(len(self.vocab) + 1, dtype=bool)
+        for (doc, item), windows in sorted(found.items()):
+            own, best = self.ids[item], (0, 0, 0, 0)
+            least = self.share[item] * MATCH * len(own) - 1e-9
+            marked[own] = True
+            for low, high in windows:
+                # The same bound with all of the item's words, then with their order.
+                value = np.cumsum(np.where(marked[ids[low:high]], MATCH, -1))
+                ends = np.flatnonzero(value - np.minimum.accumulate(value) + MATCH >= least)
+                if not len(ends):
+                    continue
+                low, high = max(low, low + int(ends[0] - self.span[item]) + 1), low + int(ends[-1]) + 1
+                if common_length(own, ids[low:high], marked) < self.share[item] * len(own) - 1e-9:
+                    continue
+                score, end_item, end = align(own, ids[low:high])
+                if score > best[0]:
+                    best = (score, low, end_item, low + end)
+            marked[own] = False
+            score, low, end_item, end = best
+            if score >= least:
+                back = align(own[:end_item][::-1], ids[low:end][::-1])
+                yield first + doc, item, score / (MATCH * len(own)), int(end - back[2] - begins[doc]), int(end - begins[doc])
+
+
+def item_blocks(items: DataFrame, item_id: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE) -> Iterator[Block]:
+    """The test items in blocks of about BLOCK_BYTES."""
     rows = items.select(F.col(f"`{item_id}`").alias("name"), F.col(f"`{item_text}`").alias("value"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("value"), F.lit(0)) + 64)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     for k in range(blocks):
         own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("name", "value"), F.lit(blocks)) == k)
-        block = Block(sorted(((r["name"], r["value"]) for r in own.collect()), key=lambda x: (x[0] is None, x[0], x[1] or "")))
-        if len(block.seeds):
-            block.choose_rare(_frequencies(docs, block, text))
-        yield block
+        yield Block(sorted(((r["name"], r["value"]) for r in own.collect()), key=lambda x: (x[0] is None, x[0], x[1] or "")), min_score)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
@@ -206,9 +201,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
     and test item of which it holds a copy, exact or edited.
 
     The score is the best local alignment's over that of the whole item;
-    ``min_score`` and more is a leak. Null and empty texts hold nothing, nor do
-    items of fewer than GRAM words count; items with equal texts each match;
-    repeated rows repeat. Without items or documents there are no rows. The
+    ``min_score`` and more is a leak, wherever the edits are; of items of fewer
+    than WHOLE words only a whole copy is, even of a single word. Null and empty
+    texts hold nothing, and items without words match nothing; items with equal
+    texts each match; repeated rows repeat. Without items or documents there are no rows. The
     items are broadcast in blocks of bounded size and documents never move.
     """
     spark = docs.sparkSession
@@ -218,14 +214,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
         [T.StructField("doc_id", docs.schema[id_column].dataType), T.StructField("item_id", kind), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())]
     )
     out = None
-    for block in item_blocks(docs, items, text, item_id, item_text):
+    for block in item_blocks(items, item_id, item_text, min_score):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             own = shared.value
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                found = list(own.matches(batch.column(1).to_pylist(), min_score))
+                found = list(own.matches(batch.column(1).to_pylist()))
                 if found:
                     yield pa.RecordBatch.from_pylist([{"doc_id": ids[d], "item_id": own.names[i], "score": s, "first_word": a, "end_word": b} for d, i, s, a, b in found], schema=to_arrow(schema))
 
@@ -244,14 +240,14 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     """The documents that hold no test item, all columns as they were."""
     at = docs.columns.index(text)
     out = docs
-    for block in item_blocks(docs, items, text, item_id, item_text):
+    for block in item_blocks(items, item_id, item_text, min_score):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             own = shared.value
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
-                clean[[d for d, *_ in own.matches(batch.column(at).to_pylist(), min_score)]] = False
+                clean[[d for d, *_ in own.matches(batch.column(at).to_pylist())]] = False
                 yield batch.filter(pa.array(clean))
 
         out = map_batches(out, run, docs.schema)
