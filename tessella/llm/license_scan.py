@@ -28,7 +28,10 @@ TEMPLATES = {
     "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.",
+    ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
@@ -44,6 +47,10 @@ GRAMS = (1, 2, 3)
 #: Words of half a window; a paragraph is judged whole up to that, else by
 #: overlapping windows of two halves.
 HALF = 24
+#: Notices wrapped over lines: windows of so many cells of CELL words, from each
+#: cell on, over the words of lines that no blank line parts.
+CELL = 6
+CELLS = (2, 4, 6, 8)
 #: Rows made per family for training, and as many times more of ordinary prose.
 ROWS_PER_FAMILY = 80
 UNKNOWN_TIMES = 8
@@ -173,8 +180,8 @@ class LicenseModel:
         return shares.get(family, 0.0) >= MIN_TEMPLATE and shares[family] >= max(shares.values())
 
     def scan(self, texts: Sequence[str | None]) -> list[list[tuple[int, str, float]]]:
-        """Per text the confirmed (paragraph, family, probability), paragraphs
-        counted by newlines from 0; one entry per paragraph and family."""
+        """Per text the confirmed (line, family, probability), one entry per notice:
+        the line it stands on or, where it is wrapped, begins on, from 0."""
         out: list[list[tuple[int, str, float]]] = [[] for _ in texts]
         start = 0
         while start < len(texts):
@@ -236,9 +243,95 @@ class LicenseModel:
             if self.confirmed(words, family):
                 key = (doc, par - int(first_par[doc]), family)
                 found[key] = max(found.get(key, 0.0), float(1 - p[w, 0]))
+        for (doc, family, low, high), q in self._wrapped(lists, ids, begins, first_par).items():
+            if not any((doc, line, family) in found for line in range(low, high + 1)):
+                found[doc, low, family] = q
         for (doc, par, family), q in sorted(found.items()):
             out[first + doc].append((par, family, q))
 
+    def _wrapped(self, lists: list[list[str]], ids: np.ndarray, begins: np.ndarray, first_par: np.ndarray) -> dict[tuple[int, str, int, int], float]:
+        """Probability of every confirmed (text, family, first line, last line) of
+        more than one line. ``ids``: all words, -1 at the end of each line."""
+        breaks = ids == -1
+        place = np.flatnonzero(~breaks)
+        if not len(place):
+            return {}
+        line = (np.cumsum(breaks) - breaks)[place]
+        # Blocks end where lines without a word lie between, and with the text.
+        doc = np.searchsorted(first_par, line, side="right") - 1
+        new = np.concatenate([[True], (line[1:] > line[:-1] + 1) | (doc[1:] != doc[:-1])])
+        block = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.concatenate([starts, [len(place)]]))
+        cells = -(-sizes // CELL)
+        base = np.concatenate([[0], np.cumsum(cells)])
+        cell = base[block] + (np.arange(len(place)) - starts[block]) // CELL
+        n_cell = int(base[-1])
+        # The same words with one break after each block.
+        joined = np.full(len(place) + len(starts), -1, dtype=np.int64)
+        at = np.arange(len(place)) + block
+        joined[at] = ids[place]
+        cell_at = np.zeros(len(joined), dtype=np.int64)
+        cell_at[at] = cell
+        sums = np.zeros((n_cell + 1, len(self.classes)))
+        for key, where in self._grams(joined):
+            col = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[col] == key
+            col, own = col[hit], cell_at[where[hit]]
+            for k in range(len(self.classes)):
+                sums[1:, k] += np.bincount(own, weights=self.weights[col, k], minlength=n_cell)
+        sums = np.cumsum(sums, axis=0)
+        first_word = np.concatenate([np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), [len(place)]])
+        ends = np.repeat(base[1:], cells)
+        found: dict[tuple[int, str], list[tuple[int, int, float, float]]] = {}
+        for width in CELLS:
+            low = np.arange(n_cell)
+            high = np.minimum(low + width, ends)
+            many = line[first_word[low]] < line[first_word[high] - 1]
+            low, high = low[many], high[many]
+            z = (sums[high] - sums[low]) / np.sqrt(first_word[high] - first_word[low])[:, None] + self.bias
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            for w in np.flatnonzero(1 - p[:, 0] >= self.least):
+                a, b = int(first_word[low[w]]), int(first_word[high[w]])
+                d = int(doc[a])
+                begin = int(begins[first_par[d]])
+                words = [lists[d][k - begin] for k in place[a:b].tolist()]
+                family = self.classes[1 + int(p[w, 1:].argmax())]
+                if self.confirmed(words, family):
+                    x, y, share = self._extent(words, family)
+                    if line[a + x] < line[a + y]:
+                        found.setdefault((d, family), []).append((a + x, a + y, share, float(1 - p[w, 0])))
+        notices: dict[int, list[list]] = {}
+        for (d, family), spans in found.items():
+            own: list[list] = []
+            for x, y, share, q in sorted(spans):
+                if own and x <= own[-1][1]:
+                    own[-1][1:4] = max(y, own[-1][1]), max(share, own[-1][2]), max(q, own[-1][3])
+                else:
+                    own.append([x, y, share, q, family])
+            notices.setdefault(d, []).extend(own)
+        # Of families that share words, the one whose template is held best.
+        out = {}
+        for d, own in notices.items():
+            for x, y, share, q, family in own:
+                if not any(f != family and u <= y and x <= v and other > share for u, v, other, _, f in own):
+                    out[d, family, int(line[x] - first_par[d]), int(line[y] - first_par[d])] = q
+        return out
+
+    def _extent(self, words: Sequence[str], family: str) -> tuple[int, int, float]:
+        """First and last of the words that hold the family's nearest template,
+        without pairs at the ends that stand inside as well, and its share."""
+        pairs = list(zip(words, words[1:]))
+        own = set(pairs)
+        template = max(self.templates[family], key=lambda t: len(t & own) / len(t))
+        at = [k for k, pair in enumerate(pairs) if pair in template]
+        while len(at) > 1 and pairs[at[0]] in {pairs[k] for k in at[1:]}:
+            del at[0]
+        while len(at) > 1 and pairs[at[-1]] in {pairs[k] for k in at[:-1]}:
+            del at[-1]
+        return at[0], at[-1] + 1, len(template & own) / len(template)
+
 
 _MODELS: list[LicenseModel] = []
 
@@ -259,7 +352,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_column:
 
     ``families``: confirmed licence families, sorted and comma-joined, empty
     without one; ``paragraphs``: ``number:family`` of each confirmed paragraph
-    (lines, from 0); ``score``: the least probability among them, null without
+    (its line or, where it is wrapped, its first line, from 0); ``score``: the least probability among them, null without
     one. Null and empty texts hold none. Texts are read whole; repeated rows
     repeat; extra columns are not read; an empty table gives no rows.
     """
