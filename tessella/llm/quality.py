@@ -22,8 +22,8 @@ _WHITE = r"[\x20\x09-\x0D]"
 UNIT = 1_000_000
 #: The method judges a histogram from this many words or characters on; a few
 #: numbers or names sway the histograms of shorter texts.
-MIN_WORDS = 100
-MIN_CHARS = 400
+MIN_WORDS = 60
+MIN_CHARS = 250
 #: Largest Jensen-Shannon distances (base 2, from 0 to 1) of a kept document: of
 #: the character classes alone, and of both histograms added.
 MAX_CHAR_DISTANCE = 0.30
