@@ -8,7 +8,7 @@ import math
 import random
 import re
 import string
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,19 +26,29 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 _WORDS = ("passw", "secret", "token", "api")
 
 #: Labelled credentials per format that are made for training: the bound on the sample.
-SAMPLES = 60
+SAMPLES = 150
 #: Confidence of the compatibility test; a smaller value merges more.
-ALPHA = 0.02
-#: Least gain over ordinary text, in nats per character and in all, of a format span.
-MIN_GAIN = 0.35
-MIN_TOTAL = 12.0
+ALPHA = 0.001
+#: Least gain in nats over the best account of a span as something ordinary.
+MIN_GAIN = 7.0
+#: A span goes on to a farther end while that costs no more nats of gain than
+#: this, and than this many for each symbol more.
+SLACK, SLACK_EACH = 5.0, 1.0
+#: Steps of this probability or more are a format's literal prefix.
+LITERAL = math.log(0.2)
+#: Least characters of a format span, and the most that an automaton walks.
+MIN_CHARS, MAX_CHARS = 16, 8192
+#: Alphabets of ordinary random strings: counters, hashes, identifiers, base64.
+_DIGITS, _HEX, _LOW, _UP = string.digits, string.digits + "abcdef", string.ascii_lowercase, string.ascii_uppercase
+ALPHABETS = tuple(frozenset(x) for x in (_DIGITS, _HEX, _LOW, _UP, _DIGITS + "ABCDEF", _LOW + _DIGITS, _UP + _DIGITS, _LOW + _UP + _DIGITS, _LOW + _UP + _DIGITS + "+/_.=-"))
 
 
 def labelled_credentials(samples: int = SAMPLES, seed: int = 7) -> list[tuple[str, str]]:
     """(text, label) rows by rule: credentials in publicly documented formats,
-    and ordinary tokens under the label ``plain``."""
+    and under the label ``plain`` words, identifiers, paths, numbers and dates.
+    Hashes and random identifiers need no rows: ``ALPHABETS`` accounts for them."""
     rng = random.Random(seed)
-    low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    low, up, dig = _LOW, _UP, _DIGITS
     some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
     made = {
         "access": lambda: rng.choice(["AKIA", "ASIA"]) + some(up + dig, 16),
@@ -48,49 +58,42 @@ def labelled_credentials(samples: int = SAMPLES, seed: int = 7) -> list[tuple[st
         "maps": lambda: "AIza" + some(low + up + dig + "_-", 35),
         "pay": lambda: rng.choice(["sk_live_", "sk_test_", "pk_live_"]) + some(low + up + dig, 24),
         "packages": lambda: "npm_" + some(low + up + dig, 36),
-        "hex": lambda: some(dig + "abcdef", rng.choice([32, 40, 64])),
         "web": lambda: "eyJ" + some(low + up + dig + "_-", rng.randint(20, 40)) + ".eyJ" + some(low + up + dig + "_-", rng.randint(40, 80)) + "." + some(low + up + dig + "_-", 43),
     }
     rows = [(f(), label) for label, f in made.items() for _ in range(samples)]
-    parts = "the er tion ing ch en sch eau ment os ción que an re st un ver lich able ful data net page news item view list user file main heit keit ein be ge do ar as es mi ga bo ja ha he nd sh wh ou on in at ed ly ai oi vi com org mail www example site blog".split()
-
-    def plain() -> str:
-        word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
-        form = rng.randint(0, 11)
-        if form < 4:
-            return "".join(rng.choice(parts) for _ in range(rng.randint(6, 12)))
-        if form == 4:
-            return "".join(rng.choice(parts) for _ in range(rng.randint(6, 12))).capitalize()
-        if form == 5:
-            return "/".join(word() for _ in range(rng.randint(3, 6)))
-        if form == 6:
-            return rng.choice("-._").join(word() for _ in range(rng.randint(3, 7)))
-        if form == 7:
-            return some(dig, rng.randint(16, 20))
-        if form == 8:
-            return f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}" + rng.choice(["-", "_", "/"]) + word()
-        if form == 10:
-            return f"{word()}{rng.randint(0, 99)}.{word()}.{rng.choice(['com', 'org', 'net'])}"
-        if form == 9:
-            return "".join(rng.choice(parts) for _ in range(rng.randint(6, 12))).upper()
-        return rng.choice("=-._+/") * rng.randint(16, 60)
-
-    kept = (t for t in iter(plain, None))
-    rows += [(next(kept).replace("ó", "o"), "plain") for _ in range(samples * len(made))]
+    parts = "the er tion ing ch en sch eau ment os cion que an re st un ver lich able ful data net page news item view list user file main heit keit ein be ge do ar as es mi ga bo ja ha he nd sh wh ou on in at ed ly ai oi vi com org mail www example site blog get set by name type config registry token key test live".split()
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
+    forms = [
+        lambda: "".join(rng.choice(parts) for _ in range(rng.randint(6, 12))),
+        lambda: "".join(rng.choice(parts) for _ in range(rng.randint(6, 12))).capitalize(),
+        lambda: "".join(rng.choice(parts) for _ in range(rng.randint(6, 12))).upper(),
+        lambda: "".join(word().capitalize() for _ in range(rng.randint(3, 7))),
+        lambda: word() + "".join(word().capitalize() for _ in range(rng.randint(3, 6))),
+        lambda: "/".join(word() for _ in range(rng.randint(3, 6))),
+        lambda: rng.choice("-._").join(word() for _ in range(rng.randint(3, 7))),
+        lambda: "_".join(word() for _ in range(rng.randint(3, 7))).upper(),
+        lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}" + rng.choice(["-", "_", "/"]) + word(),
+        lambda: f"{word()}{rng.randint(0, 99)}.{word()}.{rng.choice(['com', 'org', 'net'])}",
+        lambda: rng.choice("=-._+/") * rng.randint(16, 60),
+    ]
+    rows += [(forms[i % len(forms)](), "plain") for i in range(samples * len(made))]
     return rows
 
 
 class Automaton:
     """Probabilistic deterministic automaton, merged from a prefix tree.
 
-    States are tried in order of discovery: a state on the border is merged
-    into the first kept state whose end and step frequencies, and those of all
-    states below, differ by less than the Hoeffding bound at ``alpha``; if none
-    is compatible it is kept. Merging folds the subtrees together.
+    A state on the border is merged into the nearest kept state, the latest
+    first, whose frequencies of ends, steps and classes of steps, and those of
+    all states below, differ by less than the Hoeffding bound at ``alpha``; if
+    none is compatible it is kept. Merging folds the subtrees together, so that
+    random symbols after a literal prefix become a loop at its end.
     """
 
     def __init__(self, samples: Iterable[str], alpha: float = ALPHA):
         self.count, self.ends, self.next = [0], [0], [{}]
+        #: How often each step was taken; a merged state is entered by several.
+        self.taken: list[dict[str, int]] = [{}]
         for text in samples:
             at = 0
             self.count[0] += 1
@@ -101,7 +104,9 @@ class Automaton:
                     self.count.append(0)
                     self.ends.append(0)
                     self.next.append({})
+                    self.taken.append({})
                     self.next[at][symbol] = step
+                self.taken[at][symbol] = self.taken[at].get(symbol, 0) + 1
                 at = step
                 self.count[at] += 1
             self.ends[at] += 1
@@ -119,14 +124,24 @@ class Automaton:
             na, nb = self.count[a], self.count[b]
             if self._apart(self.ends[a], na, self.ends[b], nb):
                 return False
+            for kind in (_DIGITS, _LOW, _UP):
+                fa, fb = (sum(n for x, n in self.taken[s].items() if x in kind) for s in (a, b))
+                if self._apart(fa, na, fb, nb):
+                    return False
             for symbol in {*self.next[a], *self.next[b]}:
                 x, y = self.next[a].get(symbol), self.next[b].get(symbol)
-                if self._apart(self.count[x] if x is not None else 0, na, self.count[y] if y is not None else 0, nb):
+                if self._apart(self.taken[a].get(symbol, 0), na, self.taken[b].get(symbol, 0), nb):
                     return False
                 if x is not None and y is not None and x != y:
                     todo.append((x, y))
         return True
 
+    def _kindred(self, a: int, b: int) -> bool:
+        """Whether a takes the steps of b, or several of their class: what is
+        seen too seldom to be told apart must not end up in a literal prefix."""
+        kinds = [k for k in (_DIGITS, _LOW, _UP) if sum(x in k for x in self.next[a]) >= 3]
+        return all(x in self.next[a] or any(x in k for k in kinds) for x in self.next[b])
+
     def _fold(self, a: int, b: int) -> None:
         """Add the tree below b to a."""
         todo = [(a, b)]
@@ -135,6 +150,7 @@ class Automaton:
             self.count[a] += self.count[b]
             self.ends[a] += self.ends[b]
             for symbol, y in self.next[b].items():
+                self.taken[a][symbol] = self.taken[a].get(symbol, 0) + self.taken[b][symbol]
                 x = self.next[a].get(symbol)
                 if x is None:
                     self.next[a][symbol] = y
@@ -149,8 +165,8 @@ class Automaton:
             if not border:
                 break
             parent, symbol, state = max(border, key=lambda x: (self.count[x[2]], -x[0], x[1]))
-            for into in kept:
-                if self._compatible(into, state):
+            for into in reversed(kept):
+                if self._kindred(into, state) and self._compatible(into, state):
                     self.next[parent][symbol] = into
                     self._fold(into, state)
                     break
@@ -192,22 +208,34 @@ class Automaton:
         self.logs = [self._logs(s) for s in range(len(self.next))]
         return self
 
-    def score(self, text: str, least: float = -7.0) -> float:
-        """Log-probability; a symbol without a step costs ``least`` and stays."""
+    def ends_from(self, text: str, start: int) -> Iterator[tuple[int, float, int, float]]:
+        """(end, log-probability, end of the literal prefix, log-probability after
+        it) of all substrings from ``start`` that the automaton accepts. A symbol
+        without a step ends the walk."""
         at, total, logs = 0, 0.0, self.logs
-        for symbol in text:
-            step = logs[at][0].get(symbol)
+        literal, before = start, 0.0
+        for end in range(start, min(len(text), start + MAX_CHARS)):
+            step = logs[at][0].get(text[end])
             if step is None:
-                total += least
-            else:
-                total += step[0]
-                at = step[1]
-        return total + max(logs[at][1], least)
+                return
+            total, at = total + step[0], step[1]
+            if literal == end and step[0] >= LITERAL:
+                literal, before = end + 1, total
+            if self.ends[at]:
+                yield end + 1, total + logs[at][1], literal, total + logs[at][1] - before
+
+    def score(self, text: str) -> float:
+        """Log-probability of the whole text, -inf where it isn't accepted."""
+        return max((s for end, s, *_ in self.ends_from(text, 0) if end == len(text)), default=-math.inf)
 
 
 class FormatModel:
-    """One automaton per label; the gain of a text is its best format's
-    log-likelihood over that of ordinary text."""
+    """One automaton per label, and what a span may be instead.
+
+    A span's gain is the log-likelihood of its best format over that of the best
+    ordinary account: character pairs of words, identifiers and paths, or
+    symbols drawn at random from the smallest of ALPHABETS that holds them all.
+    """
 
     def __init__(self, rows: Sequence[tuple[str, str]], alpha: float = ALPHA):
         groups: dict[str, list[str]] = {}
@@ -215,6 +243,11 @@ class FormatModel:
             groups.setdefault(label, []).append(text)
         plain = groups.pop("plain", [])
         self.formats = {label: Automaton(x, alpha).refit(x) for label, x in sorted(groups.items())}
+        #: Formats by first symbol: where none begins, nothing is walked.
+        self.begins: dict[str, list[str]] = {}
+        for label, automaton in self.formats.items():
+            for symbol in automaton.logs[0][0]:
+                self.begins.setdefault(symbol, []).append(label)
         self.pairs: dict[str, dict[str, int]] = {}
         for text in plain:
             for a, b in zip("\0" + text, text):
@@ -224,21 +257,50 @@ class FormatModel:
         letters = "".join(plain)
         self.single = {x: (letters.count(x) + 0.3) / (len(letters) + 0.3 * 68) for x in {*letters}}
 
-    def plain(self, text: str) -> float:
+    def words(self, text: str) -> float:
+        """Log-likelihood as words, identifiers or paths."""
         total = 0.0
         for a, b in zip("\0" + text, text):
             single = self.single.get(b, 0.3 / 1000)
             total += math.log((self.pairs.get(a, {}).get(b, 0) + 20 * single) / (self.sums.get(a, 0) + 20))
         return total
 
-    def best(self, text: str) -> tuple[float, str]:
-        """Gain in nats and the format it is for."""
-        base = self.plain(text)
-        return max(((a.score(text) - base, label) for label, a in self.formats.items()), default=(-math.inf, ""))
+    def plain(self, text: str) -> float:
+        """Log-likelihood of a span as something ordinary."""
+        symbols = set(text)
+        sizes = [len(x) for x in ALPHABETS if symbols <= x]
+        return max(self.words(text), -len(text) * math.log(min(sizes))) if sizes else self.words(text)
+
+    def find(self, run: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, label, gain) of the credentials in a run, leftmost first.
+
+        All are tried that begin at the run's start or after a symbol that is no
+        letter or digit, and end likewise: a prefix such as ``NAME=`` or a path
+        neither hides a credential nor belongs to it. What follows a format's
+        literal prefix must be likelier by the format than as words, so that
+        placeholders made of words are none."""
+        found, at = [], 0
+        while at < len(run):
+            ends = []
+            if run[at] in self.begins and not (at and run[at - 1].isalnum()):
+                for label in self.begins[run[at]]:
+                    for end, score, literal, rest in self.formats[label].ends_from(run, at):
+                        if end - at >= MIN_CHARS and (end == len(run) or not run[end].isalnum()) and rest >= self.words(run[literal:end]):
+                            gain = score - self.plain(run[at:end])
+                            if gain >= MIN_GAIN:
+                                ends.append((gain, end, label))
+            if ends:
+                most, best, _ = max(ends)
+                end, gain, label = max((end, gain, label) for gain, end, label in ends if gain >= most - SLACK - SLACK_EACH * max(0, end - best))
+                found.append((at, end, label, gain))
+                at = end
+            else:
+                at += 1
+        return found
 
     def is_credential(self, text: str) -> bool:
-        gain, _ = self.best(text)
-        return gain >= MIN_TOTAL and gain >= MIN_GAIN * len(text)
+        """Whether the whole text is one."""
+        return any((start, end) == (0, len(text)) for start, end, _, _ in self.find(text))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -252,23 +314,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def scan(text: str, model: FormatModel) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and added format spans. All runs of 16 credential characters
-    or more are scored, whatever the fixed patterns say of them; a run that a
-    base span meets is not told twice."""
+def scan(text: str, model: FormatModel) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, str]]]:
+    """Base spans, and (start, kind, end, label) of all that the automata find:
+    every run of 16 credential characters or more is searched, whatever the
+    fixed patterns say of it."""
     base = base_spans(text)
-    runs = [(m.start(), m[0]) for m in CANDIDATE.finditer(text)]
-    for start, run in runs:  # a hexadecimal run of 32 lies inside one of these
-        if len(run) >= 32:
-            base += [(start + m.start(), 2, start + m.end()) for m in HEX.finditer(run) if m.end() - m.start() >= 32]
+    found = []
+    for m in CANDIDATE.finditer(text):
+        start, run = m.start(), m[0]
+        if len(run) >= 32:  # a hexadecimal run of 32 lies inside one of these
+            base += [(start + h.start(), 2, start + h.end()) for h in HEX.finditer(run) if h.end() - h.start() >= 32]
+        found += [(start + a, 3, start + b, label) for a, b, label, _ in model.find(run)]
     base.sort()
-    added = []
-    for start, run in runs:
-        if model.is_credential(run):
-            end = start + len(run)
-            if not any(s < end and start < e for s, _, e in base):
-                added.append((start, 3, end))
-    return base, added
+    return base, found
+
+
+def added_spans(base: list[tuple[int, int, int]], found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int]]:
+    """The found spans that no base span meets: the method's own additions."""
+    return [(a, k, b) for a, k, b, _ in found if not any(s < b and a < e for s, _, e in base)]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -287,31 +350,35 @@ def default_model() -> FormatModel:
 
 
 def scan_secrets(docs: DataFrame, model: FormatModel | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format per row.
-
-    Places are code points, ends exclusive. A null text is empty: no spans, and
-    the digest of an empty string. Every text is scanned whole; rows stand for
-    themselves, so repeated rows repeat. Extra columns are not read. An empty
-    table gives no rows. No shuffle.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format and
+    format_spans per row.
+
+    ``spans`` are the base spans and those format spans that no base span meets,
+    ``n_format`` the number of the latter; ``format_spans`` has all that the
+    automata find, as label:start:end. Places are code points, ends exclusive. A
+    null text is empty: no spans, and the digest of an empty string. Every text
+    is scanned whole; rows stand for themselves, so repeated rows repeat. Extra
+    columns are not read. An empty table gives no rows. No shuffle.
     """
     model = model or default_model()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType(
-        [docs.schema[id_column], *[T.StructField(n, T.LongType()) for n in ("n_assign", "n_access", "n_hex")], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_format", T.LongType())]
-    )
+    long, words = T.LongType(), T.StringType()
+    kinds = {"n_assign": long, "n_access": long, "n_hex": long, "base_sha256": words, "spans": words, "n_format": long, "format_spans": words}
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_column].dataType), *[T.StructField(n, k) for n, k in kinds.items()]])
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in kinds]
             for value in batch.column(1).to_pylist():
-                base, added = scan(value or "", own)
-                for k in range(3):
-                    out[k].append(sum(s[1] == k for s in base))
-                out[3].append(hashlib.sha256(_joined(base).encode()).hexdigest())
-                out[4].append(_joined(sorted([*base, *added])))
-                out[5].append(len(added))
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(out, kinds)]], names=schema.names)
+                base, found = scan(value or "", own)
+                added = added_spans(base, found)
+                row = [sum(s[1] == k for s in base) for k in range(3)]
+                row += [hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted([*base, *added])), len(added)]
+                row.append(",".join(f"{label}:{a}:{b}" for a, _, b, label in found))
+                for column, x in zip(out, row):
+                    column.append(x)
+            arrays = [pa.array(x, pa.int64() if k is long else pa.string()) for x, k in zip(out, kinds.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=schema.names)
 
     return map_batches(docs.select(id_column, text), run, schema)
