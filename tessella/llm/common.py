@@ -24,11 +24,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` where the
-    cluster names one; a temporary folder only where it is unset (tests)."""
+    cluster names one. Where it is unset, a session of one machine (tests) takes
+    a temporary folder, and any other has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     held = context.getCheckpointDir()
     if not held:
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
         held = context.getCheckpointDir()
     return (named or held).rstrip("/")
@@ -111,6 +114,18 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` has none of (case ignored), one for each stem."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_values(
     df: DataFrame,
     column: str,
