@@ -1,11 +1,13 @@
 """Licence scan: a paragraph classifier on sparse word n-grams with a calibrated
-unknown class; comparison with templates confirms what it predicts."""
+unknown class; similarity to the family's templates confirms what it predicts."""
 
 from __future__ import annotations
 
+import math
 import random
 import re
-from collections.abc import Iterable, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -17,31 +19,62 @@ from .common import map_batches
 
 #: Short notices of each licence family: fixed values, public standard wordings.
 TEMPLATES = {
+    "agpl-3.0": [
+        "Licensed under the GNU AGPL v3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+    ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
     ],
     "bsd": [
         "Released under the BSD 3-Clause License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
-    "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "cc-by-4.0": ["Licensed under CC BY 4.0.", "Licensed under the Creative Commons Attribution 4.0 License.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 License.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 License.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "cc0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "gpl-2.0": [
+        "Licensed under the GNU GPL version 2.",
+        "Licensed under the GNU General Public License v2.",
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.",
     ],
     "gpl-3.0": [
+        "Licensed under the GNU GPL version 3.",
+        "Licensed under the GNU General Public License v3.",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     ],
+    "isc": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "lgpl": [
+        "Licensed under the GNU LGPL version 2.1.",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    ],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     ],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "mpl-2.0": ["Licensed under the MPL 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+#: Identifiers of each family for ``SPDX-License-Identifier:`` lines: fixed values.
+IDENTIFIERS = {
+    "agpl-3.0": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "apache-2.0": ["Apache-2.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "cc-by-4.0": ["CC-BY-4.0"],
+    "cc-by-nc-4.0": ["CC-BY-NC-4.0"], "cc-by-sa-4.0": ["CC-BY-SA-4.0"], "cc0-1.0": ["CC0-1.0"], "gpl-2.0": ["GPL-2.0-only", "GPL-2.0-or-later"],
+    "gpl-3.0": ["GPL-3.0-only", "GPL-3.0-or-later"], "isc": ["ISC"], "lgpl": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only"], "mit": ["MIT"], "mpl-2.0": ["MPL-2.0"],
+}
+#: Wordings that mean the same; training rows take any of a line for another.
+SYNONYMS = (
+    ("licensed", "released", "distributed", "published", "available", "provided", "covered"),
+    ("under the terms of the", "under the", "subject to the", "according to the"),
+    ("License", "Licence", "license", "licence"),
+    ("version 2", "v2", "version 2.0"),
+    ("version 3", "v3", "version 3.0"),
+    ("This work is", "This software is", "This project is", "The code is", "All files are", "Everything here is"),
+)
 UNKNOWN = "unknown"
 GRAMS = (1, 2, 3)
 #: Words of half a window; a paragraph is judged whole up to that, else by
@@ -56,11 +89,18 @@ ROWS_PER_FAMILY = 80
 UNKNOWN_TIMES = 8
 #: Share of ordinary held-back paragraphs that may pass as a licence.
 FALSE_RATE = 0.002
-#: Least share of a template's word pairs that a confirmed paragraph holds.
-MIN_TEMPLATE = 0.7
+#: Least similarity to a template of the family that the classifier found: the
+#: share of the template's words that stand there, weighted by how few families
+#: use them (the squared logarithm of families over families that do).
+MIN_TEMPLATE = 0.65
 CHUNK_CHARS = 2_000_000
 
-_tokens = re.compile(r"[^\W_]+|\n").findall
+_found = re.compile(r"[^\W_]+|\n").findall
+
+
+def _tokens(text: str) -> list[str]:
+    """Words, case folded, and line ends; one spelling of licence."""
+    return _found(text.casefold().replace("licence", "license"))
 
 
 def labelled_paragraphs(rows_per_family: int = ROWS_PER_FAMILY, seed: int = 5) -> list[tuple[str, str]]:
@@ -72,10 +112,26 @@ def labelled_paragraphs(rows_per_family: int = ROWS_PER_FAMILY, seed: int = 5) -
     parts = "th er ing tion re st nd on es at ou ha he or an ly sh wh ed be ti ble ch sch eau ment os ción".split()
     invent = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(2, 4)))
     filler = lambda n: " ".join(rng.choice(common) if rng.random() < 0.5 else invent() for _ in range(n))
+
+    def reworded(text: str) -> str:
+        for group in SYNONYMS:
+            for phrase in sorted(group, key=len, reverse=True):
+                if re.search(rf"\b{re.escape(phrase)}\b", text):
+                    if rng.random() < 0.5:
+                        text = re.sub(rf"\b{re.escape(phrase)}\b", rng.choice(group), text, count=1)
+                    break
+        return text
+
     rows = []
     for family, templates in TEMPLATES.items():
+        ids = IDENTIFIERS[family]
         for i in range(rows_per_family):
-            words = templates[i % len(templates)].split()
+            if i % 6 == 5:
+                rows.append((rng.choice(["", "# ", "// ", "/* ", f"{invent()} "]) + f"SPDX-License-Identifier: {rng.choice(ids)}", family))
+                continue
+            words = reworded(templates[i % len(templates)]).split()
+            if i % 6 == 4:
+                words = rng.choice([["License:", rng.choice(ids)], ["licensed", "under", "the", rng.choice(ids), "license"], reworded(templates[0]).split()])
             if len(words) > 8 and rng.random() < 0.3:
                 del words[rng.randrange(len(words))]
             if rng.random() < 0.3:
@@ -85,9 +141,16 @@ def labelled_paragraphs(rows_per_family: int = ROWS_PER_FAMILY, seed: int = 5) -
             if rng.random() < 0.4:
                 words = [*words, *filler(rng.randint(1, 14)).split()]
             rows.append((" ".join(words), family))
+    every = [t for templates in TEMPLATES.values() for t in templates]
     for i in range(rows_per_family * UNKNOWN_TIMES):
-        if i % 3:
+        if i % 3 == 1:
             text = filler(rng.randint(1, 45))
+        elif i % 6 == 0:  # licences of other names
+            text = reworded(rng.choice([f"Licensed under the {invent()} License {rng.randint(1, 4)}.{rng.randint(0, 9)}", f"Released under the {invent().capitalize()} Public License.", f"Copyright {rng.randint(1990, 2030)} {invent()}. All rights reserved.", f"SPDX-License-Identifier: {invent()}-{rng.randint(1, 4)}.0", f"This work is licensed under the {invent()} {invent()} agreement, version {rng.randint(1, 4)}."]))
+        elif i % 6 == 2:  # pieces of templates, too short to tell
+            words = rng.choice(every).split()
+            at = rng.randrange(len(words))
+            text = " ".join([filler(rng.randint(3, 20)), *[w for w in words[at : at + 2] if w.lower().strip(",.;:") in common], filler(rng.randint(3, 20))])
         else:
             text = " ".join(rng.choice(about) if rng.random() < 0.4 else rng.choice(common) for _ in range(rng.randint(2, 30)))
         rows.append((text, UNKNOWN))
@@ -103,7 +166,7 @@ class LicenseModel:
         self.vocab: dict[str, int] = {}
         for text, family in rows:
             if family != UNKNOWN:
-                for w in _tokens(text.casefold()):
+                for w in _tokens(text):
                     self.vocab.setdefault(w, len(self.vocab) + 1)
         self.vocab.pop("\n", None)
         order = list(range(len(rows)))
@@ -111,12 +174,12 @@ class LicenseModel:
         held, train = order[: len(rows) // 5], order[len(rows) // 5 :]
         y = np.array([self.classes.index(f) for _, f in rows])
         self.keys = np.zeros(0, dtype=np.int64)
-        grams = [self._grams(np.array([self.vocab.get(w, 0) for w in _tokens(t.casefold())], dtype=np.int64)) for t, _ in rows]
+        grams = [self._grams(np.array([self.vocab.get(w, 0) for w in _tokens(t)], dtype=np.int64)) for t, _ in rows]
         self.keys = np.unique(np.concatenate([np.concatenate([k for k, _ in grams[i]]) for i in train]))
         n = len(self.keys)
         row, col, value = [], [], []
         for i, own in enumerate(grams):
-            size = max(1, len(_tokens(rows[i][0].casefold())))
+            size = max(1, len(_tokens(rows[i][0])))
             for keys, _ in own:
                 at = np.minimum(np.searchsorted(self.keys, keys), n - 1)
                 at = at[self.keys[at] == keys]
@@ -149,7 +212,11 @@ class LicenseModel:
         self.least = max(0.5, float(plain[min(len(plain) - 1, int(len(plain) * (1 - FALSE_RATE)))]) if len(plain) else 0.5)
         known = [i for i in held if y[i]]
         self.held_accuracy = float(np.mean(p[known].argmax(axis=1) == y[known])) if known else 1.0
-        self.templates = {f: [self._pairs(_tokens(t.casefold())) for t in ts] for f, ts in TEMPLATES.items()}
+        texts = {f: [_tokens(t) for t in [*ts, *[f"License: {x}" for x in IDENTIFIERS[f]]]] for f, ts in TEMPLATES.items()}
+        self.templates = {f: [self._pairs(t) for t in ts] for f, ts in texts.items()}
+        holders = Counter(w for ts in texts.values() for w in {w for t in ts for w in t})
+        self.weight = {w: math.log(1 + len(texts) / n) ** 2 for w, n in holders.items()}
+        self.bags = {f: [{*t} for t in ts] for f, ts in texts.items()}
 
     def _grams(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Key and first place of every n-gram of known words only."""
@@ -172,12 +239,12 @@ class LicenseModel:
     def _pairs(words: Sequence[str]) -> set[tuple[str, str]]:
         return set(zip(words, words[1:]))
 
-    def confirmed(self, words: Sequence[str], family: str) -> bool:
-        """Whether a template of the family is in the words, and no other
-        family's template is in them to a greater part."""
-        own = self._pairs(words)
-        shares = {f: max(len(t & own) / len(t) for t in ts) for f, ts in self.templates.items()}
-        return shares.get(family, 0.0) >= MIN_TEMPLATE and shares[family] >= max(shares.values())
+    def similarity(self, words: Iterable[str], family: str) -> float:
+        """Of the family's templates the one that the words hold best: the share
+        of its words, weighted by how few families use them; a single word, which
+        may be of another language, is none."""
+        own, weight = set(words), self.weight
+        return max(sum(weight[w] for w in bag & own) / sum(weight[w] for w in bag) if len(bag & own) > 1 else 0.0 for bag in self.bags[family])
 
     def scan(self, texts: Sequence[str | None]) -> list[list[tuple[int, str, float]]]:
         """Per text the confirmed (line, family, probability), one entry per notice:
@@ -194,7 +261,7 @@ class LicenseModel:
         return out
 
     def _scan(self, texts: Sequence[str | None], first: int, out: list) -> None:
-        lists = [_tokens((t or "").casefold()) for t in texts]
+        lists = [_tokens(t or "") for t in texts]
         sizes = np.array([len(x) + 1 for x in lists])
         ids = np.zeros(int(sizes.sum()), dtype=np.int64)
         get, at = {**self.vocab, "\n": -1}.get, 0
@@ -231,31 +298,58 @@ class LicenseModel:
         doc_of = np.repeat(np.arange(len(texts)), [x.count("\n") + 1 for x in lists])
         doc_starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         first_par = np.searchsorted(doc_of, np.arange(len(texts)))
-        found: dict[tuple[int, int, str], float] = {}
+        notices: dict[int, list[tuple[int, int, str, float, float]]] = {}
         for w in np.flatnonzero((size > 0) & (1 - p[:, 0] >= self.least)):
             par = int(owner[window[w]])
             doc = int(doc_of[par])
             low = int(begins[par] + (window[w] - base[par]) * HALF)
             high = int(min(ends[par], low + 2 * HALF))
             words = lists[doc][low - doc_starts[doc] : high - doc_starts[doc]]
-            k = 1 + int(p[w, 1:].argmax())
-            family = self.classes[k]
-            if self.confirmed(words, family):
-                key = (doc, par - int(first_par[doc]), family)
-                found[key] = max(found.get(key, 0.0), float(1 - p[w, 0]))
-        for (doc, family, low, high), q in self._wrapped(lists, ids, begins, first_par).items():
-            if not any((doc, line, family) in found for line in range(low, high + 1)):
-                found[doc, low, family] = q
-        for (doc, par, family), q in sorted(found.items()):
-            out[first + doc].append((par, family, q))
-
-    def _wrapped(self, lists: list[list[str]], ids: np.ndarray, begins: np.ndarray, first_par: np.ndarray) -> dict[tuple[int, str, int, int], float]:
-        """Probability of every confirmed (text, family, first line, last line) of
-        more than one line. ``ids``: all words, -1 at the end of each line."""
+            notice = self._notice(words, self.classes[1 + int(p[w, 1:].argmax())])
+            if notice:
+                x, y, family, share = notice
+                notices.setdefault(doc, []).append((low + x, low + y, family, share, float(1 - p[w, 0])))
+        for doc, notice in self._wrapped(lists, ids, begins, first_par):
+            notices.setdefault(doc, []).append(notice)
+        for doc, own in sorted(notices.items()):
+            best: dict[tuple[int, str], float] = {}
+            for start, family, q in self._resolved(own):
+                key = (int(paragraph[start]) - int(first_par[doc]), family)
+                best[key] = max(best.get(key, 0.0), q)
+            out[first + doc] += [(line, family, q) for (line, family), q in sorted(best.items())]
+
+    def _notice(self, words: Sequence[str], family: str) -> tuple[int, int, str, float] | None:
+        """First and last word of what bears the family out, the family, and the
+        similarity; None where the templates don't confirm it."""
+        share = self.similarity(words, family)
+        return (*self._extent(words, family), family, share) if share >= MIN_TEMPLATE else None
+
+    @staticmethod
+    def _resolved(notices: Iterable[tuple[int, int, str, float, float]]) -> list[tuple[int, str, float]]:
+        """(first word, family, probability): of what several windows saw of one
+        notice the whole, and of families that share words the most similar."""
+        merged: dict[str, list[list]] = {}
+        for start, end, family, share, q in sorted(notices):
+            own = merged.setdefault(family, [])
+            if own and start <= own[-1][1]:
+                own[-1][1:] = [max(end, own[-1][1]), max(share, own[-1][2]), max(q, own[-1][3])]
+            else:
+                own.append([start, end, share, q])
+        every = [(f, *x) for f, own in merged.items() for x in own]
+        return [
+            (start, f, q)
+            for f, start, end, share, q in every
+            if not any(g != f and a <= end and start <= b and (s, b - a) > (share, end - start) for g, a, b, s, _ in every)
+        ]
+
+    def _wrapped(self, lists: list[list[str]], ids: np.ndarray, begins: np.ndarray, first_par: np.ndarray) -> Iterator[tuple[int, tuple[int, int, str, float, float]]]:
+        """Every confirmed notice over more than one line: its text, first and last
+        word, family, similarity and probability. ``ids``: all words, -1 at the
+        end of each line."""
         breaks = ids == -1
         place = np.flatnonzero(~breaks)
         if not len(place):
-            return {}
+            return
         line = (np.cumsum(breaks) - breaks)[place]
         # Blocks end where lines without a word lie between, and with the text.
         doc = np.searchsorted(first_par, line, side="right") - 1
@@ -283,7 +377,6 @@ class LicenseModel:
         sums = np.cumsum(sums, axis=0)
         first_word = np.concatenate([np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), [len(place)]])
         ends = np.repeat(base[1:], cells)
-        found: dict[tuple[int, str], list[tuple[int, int, float, float]]] = {}
         for width in CELLS:
             low = np.arange(n_cell)
             high = np.minimum(low + width, ends)
@@ -297,40 +390,28 @@ class LicenseModel:
                 d = int(doc[a])
                 begin = int(begins[first_par[d]])
                 words = [lists[d][k - begin] for k in place[a:b].tolist()]
-                family = self.classes[1 + int(p[w, 1:].argmax())]
-                if self.confirmed(words, family):
-                    x, y, share = self._extent(words, family)
+                notice = self._notice(words, self.classes[1 + int(p[w, 1:].argmax())])
+                if notice:
+                    x, y, family, share = notice
                     if line[a + x] < line[a + y]:
-                        found.setdefault((d, family), []).append((a + x, a + y, share, float(1 - p[w, 0])))
-        notices: dict[int, list[list]] = {}
-        for (d, family), spans in found.items():
-            own: list[list] = []
-            for x, y, share, q in sorted(spans):
-                if own and x <= own[-1][1]:
-                    own[-1][1:4] = max(y, own[-1][1]), max(share, own[-1][2]), max(q, own[-1][3])
-                else:
-                    own.append([x, y, share, q, family])
-            notices.setdefault(d, []).extend(own)
-        # Of families that share words, the one whose template is held best.
-        out = {}
-        for d, own in notices.items():
-            for x, y, share, q, family in own:
-                if not any(f != family and u <= y and x <= v and other > share for u, v, other, _, f in own):
-                    out[d, family, int(line[x] - first_par[d]), int(line[y] - first_par[d])] = q
-        return out
+                        yield d, (int(place[a + x]), int(place[a + y]), family, share, float(1 - p[w, 0]))
 
-    def _extent(self, words: Sequence[str], family: str) -> tuple[int, int, float]:
+    def _extent(self, words: Sequence[str], family: str) -> tuple[int, int]:
         """First and last of the words that hold the family's nearest template,
-        without pairs at the ends that stand inside as well, and its share."""
+        without pairs at the ends that stand inside as well."""
         pairs = list(zip(words, words[1:]))
         own = set(pairs)
         template = max(self.templates[family], key=lambda t: len(t & own) / len(t))
         at = [k for k, pair in enumerate(pairs) if pair in template]
+        if not at:
+            bag = max(self.bags[family], key=lambda t: sum(self.weight[w] for w in t & {*words}))
+            places = [k for k, w in enumerate(words) if w in bag]
+            return places[0], places[-1]
         while len(at) > 1 and pairs[at[0]] in {pairs[k] for k in at[1:]}:
             del at[0]
         while len(at) > 1 and pairs[at[-1]] in {pairs[k] for k in at[:-1]}:
             del at[-1]
-        return at[0], at[-1] + 1, len(template & own) / len(template)
+        return at[0], at[-1] + 1
 
 
 _MODELS: list[LicenseModel] = []
