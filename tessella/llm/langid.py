@@ -18,10 +18,12 @@ from .common import map_batches
 GRAMS = (2, 3, 4)
 BITS = 14
 DIM = 16
-#: Bounds on the labelled sample: languages (the most frequent) and rows of each.
-MAX_LANGS = 64
+#: Bounds on the labelled sample: texts of each language, and of all languages.
+#: With many languages each has fewer texts, one at least.
 ROWS_PER_LANG = 400
-#: Words of the pieces that the sample's whole texts are cut into for training.
+SAMPLE_ROWS = 25_600
+#: Words of the pieces that the sample's whole texts are cut into for training,
+#: and the most pieces that are taken of one text.
 PIECE_WORDS = (4, 12, 40)
 MAX_PIECES_PER_TEXT = 60
 #: Share of held-back training pieces whose accepted prediction may be wrong.
@@ -136,7 +138,9 @@ class LanguageModel:
                 back = (g @ out.T) / sizes[:, None]
                 out -= (lr * mean.T @ g).astype(np.float32)
                 bias -= (lr * g.sum(axis=0) / len(own)).astype(np.float32)
-                np.add.at(emb, ids, (-lr * 8 * back[row]).astype(np.float32))
+                place = np.argsort(ids, kind="stable")
+                first = np.flatnonzero(np.diff(ids[place], prepend=-1))
+                emb[ids[place][first]] -= np.add.reduceat((lr * 8 * back[row[place]]).astype(np.float32), first, axis=0)
                 done += 1
         model = cls(langs, np.ascontiguousarray(emb @ out), bias, 1.0, 0.0)
         if not np.isfinite(model.table).all():  # steps too long for this sample
@@ -217,35 +221,27 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_sample(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
-    """(text, lang) of the labelled rows that are not held out: of the
-    ``max_langs`` most frequent languages the ``rows_per_lang`` with the least
-    hash of id and length. With a language's row count known, only hashes under
-    a limit that leaves about three times as many rows are ranked, and only the
-    texts of those ranked in are read; at most languages x rows reach the driver.
+def training_sample(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """(text, lang) of the labelled rows that are not held out: of every language
+    the ``rows_per_lang`` texts of least hash (fewer, if all languages together
+    would go beyond ``sample_rows``; only of more languages than that, the rarest
+    have none). Repeated texts count once, so that no group of copies crowds out
+    others. One scan finds, per language, about how many texts there are; the
+    next one groups only the texts under a hash limit that leaves three times as
+    many as wanted.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
+    own = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    found = own.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()
+    if not found:
         return []
+    wanted = max(1, min(rows_per_lang, sample_rows // len(found)))
     #: Hashes are uniform over 64 bits; a small language is ranked whole.
-    limits = {r["lang"]: int(2**64 * min(1.0, 3 * rows_per_lang / r["count"])) - 2**63 for r in counts}
-
-    def under(limit: dict[str, int]) -> Column:
-        tests = [(F.col("lang") == lang) & (F.col("h") <= F.lit(min(h, 2**63 - 1))) for lang, h in limit.items()]
-        out = tests[0]
-        for test in tests[1:]:
-            out = out | test
-        return out
-
-    own = rows.select("lang", "text", F.xxhash64("doc_id", F.octet_length("text")).alias("h"))
-    order = W.partitionBy("lang").orderBy("h")
-    ranked = own.select("lang", "h").where(under(limits)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_per_lang)
-    bounds = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    if not bounds:
-        return []
-    chosen = own.where(under(bounds)).orderBy("lang", "h", "text").limit(rows_per_lang * len(bounds))
-    return [(r["text"], r["lang"]) for r in chosen.collect()]
+    limits = [(r["lang"], max(r["least"], min(2**63 - 1, int(2**64 * min(1.0, (3 * wanted + 30) / max(1, r["n"]))) - 2**63))) for r in found]
+    table = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, top long"))
+    some = own.join(table, "lang").where("h <= top").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    ranked = some.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= wanted)
+    return [(r["text"], r["lang"]) for r in ranked.orderBy("lang", "k").collect()]
 
 
 def train(docs: DataFrame) -> LanguageModel:
