@@ -1,10 +1,12 @@
-"""Line dedup over a sharded minimal perfect hash of the repeated lines."""
+"""Line dedup over a sharded minimal perfect hash: documents look their lines up
+in arrays of fingerprints and document counts."""
 
 from __future__ import annotations
 
 import hashlib
 import io
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_batches, without
+from .common import checkpoint, map_batches, unused
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Distinct lines that one shard of the index holds, about.
 SHARD_LINES = 250_000
 #: Bytes of index that are broadcast at once; a larger index is probed in blocks.
 BLOCK_BYTES = 48 << 20
+#: Lines of fewer documents get no place in the arrays. A line of one document
+#: can't repeat, and most distinct lines are such; all counts from two on are
+#: looked up, whatever the least count of a drop is.
+INDEX_FROM = 2
 _GAMMA = 2.0
 
 
@@ -140,33 +146,51 @@ class LineShard:
         return cls(PerfectHash([z[f"w{i}"] for i in levels], [z[f"r{i}"] for i in levels], sizes, int(z["n"])), z["marks"], z["counts"], z["rest"])
 
 
-def count_lines(docs: DataFrame, text: str = "text", min_chars: int = 1) -> DataFrame:
+def count_lines(docs: DataFrame, text: str = "text", min_chars: int = 1, distinct_texts: bool = False) -> DataFrame:
     """h1, h2, n: documents that hold each distinct line key of ``min_chars``
     code points or more. Counts are added up per batch and per task before the
-    shuffle, so a line that a third of the documents hold is no hot key."""
+    shuffle, so a line that a third of the documents hold is no hot key. With
+    ``distinct_texts`` equal texts count as one document."""
     at = docs.columns.index(text)
 
-    def run(batches):
+    def keyed(lines: Iterable[bytes]) -> list[bytes]:
+        return [k for k in lines if k and (min_chars <= 1 or len(k.decode()) >= min_chars)]
+
+    def count(batches):
         for batch in batches:
             held: Counter[bytes] = Counter()
             for value in batch.column(at).to_pylist():
                 held.update(set(map(line_key, (value or "").encode().split(b"\n"))))
-            keys = [k for k in held if k and (min_chars <= 1 or len(k.decode()) >= min_chars)]
+            keys = keyed(held)
             if keys:
                 h1, h2 = _hashes(keys)
                 n = np.fromiter(map(held.__getitem__, keys), dtype=np.int64, count=len(keys))
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n)], names=["h1", "h2", "n"])
 
-    found = map_batches(docs, run, "h1 long, h2 long, n long")
-    return found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    def pair(batches):
+        for batch in batches:
+            keys, texts, sizes = [], [], []
+            for raw in {v.encode() for v in batch.column(at).to_pylist() if v}:
+                own = keyed(set(map(line_key, raw.split(b"\n"))))
+                keys += own
+                texts.append(xxhash.xxh3_64_intdigest(raw))
+                sizes.append(len(own))
+            if keys:
+                h1, h2 = _hashes(keys)
+                t = np.repeat(np.array(texts, dtype=np.uint64), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h1, h2, t)], names=["h1", "h2", "t"])
+
+    if distinct_texts:
+        return map_batches(docs, pair, "h1 long, h2 long, t long").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    return map_batches(docs, count, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
-def build_index(docs: DataFrame, min_docs: int = 10, text: str = "text", min_chars: int = 1) -> DataFrame:
+def build_index(docs: DataFrame, text: str = "text", min_chars: int = 1, distinct_texts: bool = False, from_docs: int = INDEX_FROM) -> DataFrame:
     """shard, shards, lines, bytes, blob: the index over the distinct lines of
-    ``min_docs`` documents or more, one row per shard. Only these lines can be
-    dropped, so only they get a place in the arrays; any other line is turned
-    away by the 64-bit fingerprint."""
-    lines = checkpoint(count_lines(docs, text, min_chars).where(F.col("n") >= min_docs))
+    ``from_docs`` documents or more with their document counts, one row per
+    shard. It serves any least count from there on; a line without a place in it is turned away by the
+    64-bit fingerprint."""
+    lines = checkpoint(count_lines(docs, text, min_chars, distinct_texts).where(F.col("n") >= from_docs))
     shards = max(1, -(-lines.count() // SHARD_LINES))
 
     def build(batches):
@@ -219,15 +243,15 @@ class _Block:
         return [(places[a:b] - s).tolist() for a, b, s in zip(low, high, starts)]
 
 
-def with_drops(docs: DataFrame, fn, schema: T.StructType, min_docs: int = 10, text: str = "text", min_chars: int = 1) -> DataFrame:
+def with_drops(docs: DataFrame, index: DataFrame, fn, schema: T.StructType, min_docs: int = 10, text: str = "text") -> DataFrame:
     """``fn(batch, drops)`` over the batches of ``docs``: ``drops`` has the
-    places of each text's lines to drop, from 0.
+    places of each text's lines to drop, from 0: those whose count in the
+    ``index`` is ``min_docs`` or more.
 
     The index is broadcast while it fits into BLOCK_BYTES. A larger one is
     taken in blocks of that size, one pass over the documents each, with the
     places found so far kept in a table in between; no block is skipped.
     """
-    index = build_index(docs, min_docs, text, min_chars)
     sizes = index.select("shard", "shards", "bytes").orderBy("shard").collect()
     blocks: list[list[int]] = [[]]
     held = 0
@@ -239,7 +263,7 @@ def with_drops(docs: DataFrame, fn, schema: T.StructType, min_docs: int = 10, te
         held += row["bytes"]
     shards = sizes[0]["shards"] if sizes else 1
     context = docs.sparkSession.sparkContext
-    rows = without(docs, ["__drop"])
+    rows, (place,) = docs, unused(docs, "drop")
     at, names = rows.columns.index(text), rows.columns
     for k, block in enumerate(blocks):
         blobs = {r["shard"]: bytes(r["blob"]) for r in index.where(F.col("shard").isin(block)).select("shard", "blob").collect()} if block else {}
@@ -263,9 +287,9 @@ def with_drops(docs: DataFrame, fn, schema: T.StructType, min_docs: int = 10, te
         def mark(batches, drops_of=drops_of):
             for batch in batches:
                 drops = pa.array(drops_of(batch), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], drops], names=[*names, "__drop"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], drops], names=[*names, place])
 
-        marked = T.StructType([*[f for f in rows.schema.fields if f.name != "__drop"], T.StructField("__drop", T.ArrayType(T.IntegerType()))])
+        marked = T.StructType([*docs.schema.fields, T.StructField(place, T.ArrayType(T.IntegerType()))])
         rows = checkpoint(map_batches(rows, mark, marked))
     raise AssertionError("there is always a block")
 
@@ -277,13 +301,15 @@ def _kept(value: str, drop: list[int]) -> str:
     return "\n".join(x for i, x in enumerate(value.split("\n")) if i not in gone)
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", min_chars: int = 1) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", min_chars: int = 1, distinct_texts: bool = False) -> DataFrame:
     """``docs`` with the lines that ``min_docs`` documents or more hold removed
     from every document, the other lines joined by a newline. Same rows and
-    columns; ``n_chars``, where there is one, follows the text. A null text
-    stays null and an empty one empty: its only line has an empty key, which is
-    never dropped. A document may end with an empty text. Rows count as
-    documents, so repeated rows count each."""
+    columns, whatever they are called; ``n_chars``, where there is one, follows
+    the text. A null text stays null and an empty one empty: its only line has
+    an empty key, which is never dropped. A document may end with an empty text.
+    Rows count as documents, so repeated rows count each; with
+    ``distinct_texts`` rows of equal texts count as one, so that copies of a
+    document, however many, don't lose it by themselves."""
     at = docs.columns.index(text)
     n_at = next((i for i, f in enumerate(docs.schema.fields) if f.name == "n_chars" and f.dataType == T.LongType()), None)
 
@@ -296,7 +322,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, text: str = "text",
             arrays[n_at] = pa.array([o if not d or t is None else len(t) for o, d, t in zip(olds, drops, texts)], type=pa.int64())
         return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
-    return with_drops(docs, fn, docs.schema, min_docs, text, min_chars)
+    return with_drops(docs, build_index(docs, text, min_chars, distinct_texts, min(INDEX_FROM, min_docs)), fn, docs.schema, min_docs, text)
 
 
 def line_digest(docs: DataFrame, min_docs: int = 10) -> DataFrame:
@@ -316,4 +342,5 @@ def line_digest(docs: DataFrame, min_docs: int = 10) -> DataFrame:
         )
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return with_drops(docs.select("doc_id", "text"), fn, schema, min_docs)
+    rows = docs.select("doc_id", "text")
+    return with_drops(rows, build_index(rows, from_docs=min(INDEX_FROM, min_docs)), fn, schema, min_docs)
