@@ -15,8 +15,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more hold are removed everywhere."""
-    return line_dedup.drop_repeated_lines(docs, min_docs=10)
+    """Lines that ten different texts or more hold are removed everywhere. Copies
+    of a text count once here: they are the next stage's, which keeps one."""
+    return line_dedup.drop_repeated_lines(docs, min_docs=10, distinct_texts=True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
