@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 class StoreError(Exception):
     """Base of all errors that the store raises on its own account."""
@@ -45,3 +52,23 @@ class NullKey(SchemaMismatch):
 
 class CommitConflict(StoreError):
     """Another writer moved HEAD since this commit began."""
+
+
+_RAISED = re.compile(r"<<(\w+)>>(.*?)<</\1>>", re.DOTALL)
+
+
+def failing(kind: type[StoreError], text: Column) -> Column:
+    """An expression that fails the job when a row comes to it."""
+    return F.raise_error(F.concat(F.lit(f"<<{kind.__name__}>>"), text, F.lit(f"<</{kind.__name__}>>")))
+
+
+@contextlib.contextmanager
+def checked_rows() -> Iterator[None]:
+    """Raise what ``failing`` says as the error that it names."""
+    try:
+        yield
+    except Exception as e:
+        found = _RAISED.search(str(e))
+        if not found or found[1] not in globals():
+            raise
+        raise globals()[found[1]](found[2]) from e

@@ -5,13 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from .errors import InvalidArgs
 
 
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, the place that all
-    executors share; under the local temporary folder only where it is unset."""
+    executors share. Where it is unset, a session of one machine takes a
+    temporary folder, and any other has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise InvalidArgs("set spark.checkpoint.dir to a folder that all executors share")
     return f"{named.rstrip('/')}/work-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="work-")
 
 
@@ -36,7 +43,10 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> None:
-    """Write beside ``path`` and rename, so a reader sees all or nothing."""
+    """Write beside ``path`` and rename, so a reader sees all or nothing. Without
+    ``replace`` only one of several writers succeeds; the others get a
+    FileExistsError. (The rename is one step on HDFS; on a local disk it looks
+    first and then moves.)"""
     fs, p = _fs(spark, path)
     fs.mkdirs(p.getParent())
     _, draft = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
@@ -46,17 +56,29 @@ def write_text(spark: SparkSession, path: str, text: str, replace: bool = False)
         stream.hsync()
     finally:
         stream.close()
-    if fs.exists(p):
-        if not replace:
-            fs.delete(draft, False)
-            raise FileExistsError(path)
-        context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
-        options = spark._jvm.org.apache.hadoop.fs.Options.Rename
-        array = spark.sparkContext._gateway.new_array(options, 1)
-        array[0] = options.OVERWRITE
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    array = spark.sparkContext._gateway.new_array(option, 1)
+    array[0] = option.OVERWRITE if replace else option.NONE
+    try:
         context.rename(draft, p, array)
-    else:
-        fs.rename(draft, p)
+    except Py4JJavaError as e:
+        fs.delete(draft, False)
+        if not replace and "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            raise FileExistsError(path) from None
+        raise
+
+
+def read_parquet(spark: SparkSession, paths: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of the Parquet files that a column of paths names, however many.
+    The names go from the rows to the reader within the JVM."""
+    encoder = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    found = getattr(paths._jdf, "as")(encoder).collectAsList()
+    if found.isEmpty():
+        return spark.createDataFrame([], schema)
+    names = spark._jvm.scala.jdk.javaapi.CollectionConverters.asScala(found).toSeq()
+    return DataFrame(spark.read.schema(schema)._jreader.parquet(names), spark)
 
 
 def delete(spark: SparkSession, path: str) -> None:

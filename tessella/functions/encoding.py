@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,10 +33,56 @@ def encoder(kind: T.DataType):
     raise SchemaMismatch(f"no canonical encoding of {kind.simpleString()}")
 
 
-def long_digest(column: Column) -> Column:
-    """SHA-256 of a long's canonical bytes, in the JVM."""
-    pairs = F.regexp_extract_all(F.lpad(F.hex(column), 16, "0"), F.lit("(..)"), F.lit(1))
-    return F.sha2(F.unhex(F.concat(F.lit("03"), F.concat_ws("", F.reverse(pairs)))), 256)
+def canonical_hex(column: Column, kind: T.DataType) -> Column:
+    """The canonical bytes of a column as hexadecimal digits, in the JVM. Dates,
+    timestamps and decimals, an extension, count as their text."""
+
+    def tagged(tag: int, digits: Column) -> Column:
+        return F.concat(F.lit(f"{tag:02X}"), digits)
+
+    def little(number: Column, size: int) -> Column:
+        digits = F.lpad(F.hex(number.cast("long")), 16, "0")
+        return F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(size)])
+
+    def bits(java: str, method: str) -> Column:
+        zero = F.lit(0).cast(kind)
+        return F.java_method(F.lit(f"java.lang.{java}"), F.lit(method), F.coalesce(column, zero)).cast("long")
+
+    def counted(tag: int, value: Column) -> Column:
+        return tagged(tag, F.concat(little(F.octet_length(value), 8), F.hex(value)))
+
+    if isinstance(kind, T.BooleanType):
+        out = F.when(column, f"{TAG_BOOLEAN:02X}01").otherwise(f"{TAG_BOOLEAN:02X}00")
+    elif isinstance(kind, T.IntegerType):
+        out = tagged(TAG_INT, little(column, 4))
+    elif isinstance(kind, T.LongType):
+        out = tagged(TAG_LONG, little(column, 8))
+    elif isinstance(kind, T.FloatType):
+        out = tagged(TAG_FLOAT, little(bits("Float", "floatToIntBits"), 4))
+    elif isinstance(kind, T.DoubleType):
+        out = tagged(TAG_DOUBLE, little(bits("Double", "doubleToLongBits"), 8))
+    elif isinstance(kind, T.BinaryType):
+        out = counted(TAG_BYTES, column)
+    elif isinstance(kind, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)):
+        out = counted(TAG_STRING, column.cast("string"))
+    else:
+        raise SchemaMismatch(f"no canonical encoding of {kind.simpleString()}")
+    return F.when(column.isNull(), F.lit(f"{TAG_NULL:02X}")).otherwise(out)
+
+
+def canonical_bytes(schema: T.StructType, columns: Sequence[str]) -> Column:
+    """The canonical bytes of several columns, one after the other."""
+    return F.unhex(F.concat(*[canonical_hex(F.col(f"`{c}`"), schema[c].dataType) for c in columns]))
+
+
+def row_digest(schema: T.StructType, columns: Sequence[str]) -> Column:
+    """SHA-256 of the canonical bytes of several columns."""
+    return F.sha2(canonical_bytes(schema, columns), 256)
+
+
+def long_digest(column: Column | str) -> Column:
+    """SHA-256 of a long's canonical bytes."""
+    return F.sha2(F.unhex(canonical_hex(F.col(column) if isinstance(column, str) else column, T.LongType())), 256)
 
 
 def lognormal_cdf(x: float, mu: float, sigma: float) -> float:

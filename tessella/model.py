@@ -79,6 +79,13 @@ class KeyedSchema:
         """The columns of the data files."""
         return T.StructType([T.StructField(f.name, f.dataType) for f in self.row.fields] + [T.StructField(ROW_ID, T.LongType())])
 
+    def only(self, columns: Iterable[str]) -> KeyedSchema:
+        """The key and these columns, in the table's order."""
+        wanted = {*self.keys, *columns}
+        if missing := wanted.difference(self.columns):
+            raise MissingKeyColumn(f"no columns {sorted(missing)}")
+        return KeyedSchema(T.StructType([f for f in self.row.fields if f.name in wanted]), self.keys)
+
     def key_part(self, column: str) -> int | None:
         """Place of a column in the key, from 0; None for another column."""
         return self.keys.index(column) if column in self.keys else None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import files
 from ..errors import SchemaMismatch
 from ..model import ROW_ID
 from ..store import Snapshot
@@ -20,9 +21,7 @@ def snapshot_diff(before: Snapshot, after: Snapshot) -> DataFrame:
 
     def own(one: Snapshot, other: Snapshot) -> DataFrame:
         mine = one.manifest().select("path").join(other.manifest().select("path"), "path", "left_anti")
-        paths = [r["path"] for r in mine.collect()]
-        spark = one.store.spark
-        rows = spark.read.schema(schema.stored).parquet(*paths) if paths else spark.createDataFrame([], schema.stored)
+        rows = files.read_parquet(one.store.spark, mine, schema.stored)
         return rows.select(*[F.col(f"`{k}`") for k in schema.keys], F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"))
 
     old, new = own(before, after).withColumnRenamed("__row", "__old"), own(after, before).withColumnRenamed("__row", "__new")

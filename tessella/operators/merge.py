@@ -2,117 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..errors import DuplicateKey, InvalidArgs, KeyNotFound, NullKey, SchemaMismatch
+from .. import files
+from ..errors import DuplicateKey, InvalidArgs, KeyNotFound, NullKey, SchemaMismatch, checked_rows, failing
 from ..model import ROW_ID, KeyedSchema
-from ..store import Store, TableVersion
-from .keyed import duplicate_keys
+from ..store import Store, with_row_ids
+from .keyed import any_null
 
 OP = "op"
 
 
-def check_changes(changes: DataFrame, schema: KeyedSchema) -> None:
-    """Columns ``op`` ('I', 'U' or 'D'), the key, row_id and the values; one
-    change per key at most, no null in a key."""
+def check_changes(changes: DataFrame, schema: KeyedSchema) -> Row:
+    """Columns ``op`` ('I', 'U' or 'D'), the key, row_id and the values; no null
+    in a key. One aggregation; gives n, and the least and greatest value (low,
+    high) of the leading key column."""
     wanted = [OP, ROW_ID, *schema.columns]
     if missing := [c for c in wanted if c not in changes.columns]:
         raise SchemaMismatch(f"changes lack {missing}")
-    if not changes.where(~F.coalesce(F.col(OP).isin("I", "U", "D"), F.lit(False))).isEmpty():
+    lead = F.col(f"`{schema.keys[0]}`").cast(schema.row[schema.keys[0]].dataType)
+    bad = ~F.coalesce(F.col(OP).isin("I", "U", "D"), F.lit(False))
+    found = changes.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), F.count_if(any_null(schema.keys)).alias("nulls"), F.min(lead).alias("low"), F.max(lead).alias("high")
+    ).first()
+    if found["bad"]:
         raise InvalidArgs("op must be 'I', 'U' or 'D'")
-    nulls = None
-    for k in schema.keys:
-        nulls = F.col(f"`{k}`").isNull() if nulls is None else nulls | F.col(f"`{k}`").isNull()
-    if not changes.where(nulls).isEmpty():
+    if found["nulls"]:
         raise NullKey("a change has a null in its key")
-    twice = duplicate_keys(changes, schema.keys).first()
-    if twice is not None:
-        raise DuplicateKey(f"several changes: {twice.asDict()}")
+    return found
 
 
 def joined(rows: DataFrame, changes: DataFrame, schema: KeyedSchema) -> DataFrame:
-    """Stored rows and changes side by side: ``__old``, ``__new`` (null where
-    absent), ``op`` and the key. One full outer join on the key."""
+    """Stored rows and changes side by side: the key, ``op``, ``__old``, ``__new``
+    (null where absent) and ``__nth`` (of several changes of a key). One full
+    outer join on the key, whose shuffle of the changes also numbers them."""
     stored = [ROW_ID, *schema.columns]
     keys = [F.col(f"`{k}`") for k in schema.keys]
     old = rows.select(*keys, F.struct(*[F.col(f"`{c}`") for c in stored]).alias("__old"))
     kinds = {f.name: f.dataType for f in schema.stored.fields}
     new = changes.select(*[F.col(f"`{k}`").cast(kinds[k]) for k in schema.keys], OP, F.struct(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in stored]).alias("__new"))
+    new = new.withColumn("__nth", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)))
     return old.join(new, list(schema.keys), "full_outer")
 
 
-def check_merge(both: DataFrame) -> None:
-    """An insert wants an absent key; updates and deletes want a stored one."""
-    bad = (F.col(OP) == "I") & F.col("__old").isNotNull() | F.col(OP).isin("U", "D") & F.col("__old").isNull()
-    first = both.where(bad).drop("__old", "__new").first()
-    if first is not None:
-        kind = DuplicateKey if first[OP] == "I" else KeyNotFound
-        raise kind(str(first.asDict()))
-
-
 def merged(both: DataFrame, schema: KeyedSchema) -> DataFrame:
-    """The rows after the changes; an update takes the change's values and row_id."""
-    row = F.when(F.col(OP).isNull(), F.col("__old")).when(F.col(OP) != "D", F.col("__new"))
+    """The rows after the changes; an update takes the change's values and row_id.
+    An insert wants an absent key, updates and deletes want a stored one, and a
+    key takes one change: else the job fails with DuplicateKey or KeyNotFound."""
+    key = F.to_json(F.struct(*[F.col(f"`{k}`") for k in schema.keys]))
+    kind = both.schema["__old"].dataType
+    row = (
+        F.when(F.col("__nth") > 1, failing(DuplicateKey, F.concat(F.lit("several changes: "), key)).cast(kind))
+        .when((F.col(OP) == "I") & F.col("__old").isNotNull(), failing(DuplicateKey, key).cast(kind))
+        .when(F.col(OP).isin("U", "D") & F.col("__old").isNull(), failing(KeyNotFound, key).cast(kind))
+        .when(F.col(OP).isNull(), F.col("__old"))
+        .when(F.col(OP) != "D", F.col("__new"))
+    )
     return both.select(row.alias("__row")).where("__row is not null").select("__row.*")
 
 
-def _outside(schema: KeyedSchema, low: tuple, high: tuple) -> Column:
-    """Files whose leading key bounds lie outside those of the changes."""
-    lead = schema.keys[0]
-    return (F.col("max_key")[lead] < F.lit(low[0])) | (F.col("min_key")[lead] > F.lit(high[0]))
-
-
-def merge_changes(store: Store, name: str, changes: DataFrame) -> str:
+def merge_changes(store: Store, name: str, changes: DataFrame, mark: tuple[str, int] | None = None) -> str:
     """Apply a batch to the current version of a table and commit the result.
 
-    Without changes the current commit stays. All is checked before anything is
-    written; a failed batch leaves no trace. Files whose key range lies wholly
-    outside the changes' are carried on; the others are read and written anew.
-    A table may end without rows. Returns the commit's id.
+    Without changes the current commit stays. A batch that fails a check leaves
+    no trace. Files whose key range lies wholly outside the changes' are carried
+    on unread, however many there are; the others are read, joined once, checked
+    in that pass and written anew. A table may end without rows. ``mark``, a
+    stream and the number of its batch, is committed with the result, and a batch
+    whose mark is committed isn't applied again. Returns the commit's id.
     """
     based_on = store.head()
     version = store.table(name, based_on)
+    if mark and store.commit(based_on).marks.get(mark[0], -1) >= mark[1]:
+        return based_on
     schema = version.schema
-    bounds = changes.agg(F.count(F.lit(1)).alias("n"), *[f(F.col(f"`{k}`")).alias(f"{f.__name__}_{i}") for i, k in enumerate(schema.keys) for f in (F.min, F.max)]).first()
-    if not bounds["n"]:
-        check_changes(changes, schema)
+    found = check_changes(changes, schema)
+    if not found["n"]:
         return based_on
-    check_changes(changes, schema)
-    low, high = (bounds["min_0"],), (bounds["max_0"],)
-    kept_rows, touched = 0, None
-    manifests: list[str] = []
-    if version.manifests:
-        listed = store.manifest_rows(version.manifests)
-        outside = _outside(schema, low, high)
-        kept = listed.where(outside)
-        touched = ~outside
-        kept_rows = kept.agg(F.sum("rows")).first()[0] or 0
-    rows = store.manifest_files(version.manifests, schema, touched)
-    both = joined(rows, changes, schema)
-    check_merge(both)
-    manifest, total = store.write_files(name, schema, merged(both, schema))
+    lead = schema.keys[0]
+    outside = (F.col("max_key")[lead] < F.lit(found["low"])) | (F.col("min_key")[lead] > F.lit(found["high"]))
+    rows = store.manifest_files(version.manifests, schema, ~outside)
+    draft = f"{store.root}/_drafts/{uuid.uuid4().hex}"
+    written: list[str] = []
     try:
-        if not total:
-            store.discard(manifest)
-        else:
-            manifests.append(manifest)
-        if kept_rows:
-            carried = f"{manifest}-kept"
-            kept.repartition(1).write.parquet(carried)
-            manifests.append(carried)
-        new = TableVersion(name, store.table_id(name, schema, manifests), schema, total + kept_rows, tuple(manifests))
-        return store.publish(new, based_on)
+        with checked_rows():
+            merged(joined(rows, changes, schema), schema).write.parquet(draft)
+        written.append(store.write_files(name, schema, store.spark.read.schema(schema.stored).parquet(draft), unique=True))
+        if version.manifests:
+            written.append(f"{written[0]}-kept")
+            store.manifest_rows(version.manifests).where(outside).write.parquet(written[1])
+        return store.publish(store.version(name, schema, written), based_on, mark)
     except Exception:
-        store.discard(manifest)
+        for manifest in written:
+            store.discard(manifest)
         raise
+    finally:
+        files.delete(store.spark, draft)
 
 
 def insert_rows(store: Store, name: str, df: DataFrame) -> str:
     """Insert rows of new keys; ``row_id`` where there is none goes on from the
     table's row count, in scan order."""
     if ROW_ID not in df.columns:
-        from ..store import with_row_ids
-
         df = with_row_ids(df).withColumn(ROW_ID, F.col(ROW_ID) + F.lit(store.table(name).rows))
     return merge_changes(store, name, df.withColumn(OP, F.lit("I")))

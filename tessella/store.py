@@ -1,15 +1,16 @@
 """Versioned keyed tables: immutable snapshots of Parquet files behind a HEAD.
 
-    HEAD                      id of the current commit
-    _commits/<tx>.json        {tx_id, prev_id, ts_us, tables: {name: entry}}
+    _commits/<tx>.json        {tx_id, prev_id, ts_us, tables: {name: entry}, marks}
+    _next/<tx>                id of the commit that follows; written once
+    HEAD                      a commit to look on from, usually the current one
     _manifests/<name>/<id>/   one row per data file: path, rows, key bounds, digest
     data/<name>/<id>/         Parquet, range-partitioned and sorted by the key
 
 Data files and manifests are never changed. A commit carries all other tables
-on and names its predecessor, so any commit is a whole-catalog snapshot. The
-manifest is a Parquet table, written by the executors and filtered by Spark, so
-nothing on the driver grows with the number of files but the paths that a
-lookup needs.
+on and names its predecessor, so any commit is a whole-catalog snapshot. Writing
+``_next`` is what commits: of two writers on one predecessor the second fails.
+The manifest is a Parquet table, written by the executors and filtered by Spark;
+a read takes the paths that are left from it to the scan, within the JVM.
 """
 
 from __future__ import annotations
@@ -22,33 +23,44 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import files
-from .errors import CommitConflict, DuplicateKey, InvalidArgs, NoSuchTable, NoSuchTransaction, NullKey, SchemaMismatch
+from .errors import CommitConflict, DuplicateKey, InvalidArgs, NoSuchTable, NoSuchTransaction, NullKey, checked_rows, failing
+from .functions.encoding import row_digest
 from .model import ROW_ID, KeyedSchema
-from .operators.keyed import duplicate_keys, predicate
+from .operators.keyed import KeyedReads, any_null, constrained
 
 #: Rows per data file that a load aims at.
 ROWS_PER_FILE = 4_000_000
-#: Files that a lookup reads by path; beyond, it reads the version's folders.
-PRUNED_FILES = 10_000
+#: Places that a SHA-256 is cut into for sums over rows.
+LANES = 8
 
 
-def with_row_ids(df: DataFrame) -> DataFrame:
-    """``df`` with ``row_id``: 0, 1, ... in scan order. Rows are counted per
-    partition, and each partition's numbers shifted by the counts before; the
-    shifts are one row per partition."""
+def numbered(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` with ``row_id``: 0, 1, ... in scan order, and the number of rows.
+    Rows are counted per partition, and each partition's numbers shifted by the
+    counts before; the shifts are one row per partition. Partitions that turn out
+    longer when they are read again are an error."""
     marked = df.withColumn("__at", F.monotonically_increasing_id())
     part = F.shiftright("__at", 33)
     counts = sorted((r["p"], r["n"]) for r in marked.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     shifts, total = [], 0
     for p, n in counts:
-        shifts.append((p, total))
+        shifts.append((p, total, n))
         total += n
-    table = df.sparkSession.createDataFrame(shifts, "__p long, __shift long")
-    numbered = marked.withColumn("__p", part).join(F.broadcast(table), "__p")
-    return numbered.withColumn(ROW_ID, F.col("__shift") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__p", "__shift")
+    table = df.sparkSession.createDataFrame(shifts, "__p long, __shift long, __n long")
+    rows = marked.withColumn("__p", part).join(F.broadcast(table), "__p", "left")
+    place = F.col("__at").bitwiseAND((1 << 33) - 1)
+    known = F.coalesce(place < F.col("__n"), F.lit(False))
+    row_id = F.when(known, F.col("__shift") + place).otherwise(failing(InvalidArgs, F.lit("the rows changed between two reads")).cast("long"))
+    return rows.withColumn(ROW_ID, row_id).drop("__at", "__p", "__shift", "__n"), total
+
+
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """``df`` with ``row_id``: 0, 1, ... in scan order; see ``numbered``."""
+    return numbered(df)[0]
 
 
 @dataclass(frozen=True)
@@ -75,18 +87,22 @@ class Commit:
     prev_id: str | None
     ts_us: int
     tables: dict[str, TableVersion]
+    #: Last batch applied of each change stream.
+    marks: dict[str, int] = field(default_factory=dict)
 
     def to_json(self) -> str:
-        return json.dumps({"tx_id": self.tx_id, "prev_id": self.prev_id, "ts_us": self.ts_us, "tables": {n: t.to_json() for n, t in sorted(self.tables.items())}})
+        tables = {n: t.to_json() for n, t in sorted(self.tables.items())}
+        return json.dumps({"tx_id": self.tx_id, "prev_id": self.prev_id, "ts_us": self.ts_us, "tables": tables, "marks": self.marks})
 
     @classmethod
     def from_text(cls, text: str) -> Commit:
         v = json.loads(text)
-        return cls(v["tx_id"], v["prev_id"], v["ts_us"], {n: TableVersion.from_json(n, t) for n, t in v["tables"].items()})
+        return cls(v["tx_id"], v["prev_id"], v["ts_us"], {n: TableVersion.from_json(n, t) for n, t in v["tables"].items()}, v.get("marks", {}))
 
 
 class Store:
-    """A folder of versioned tables; one writer at a time."""
+    """A folder of versioned tables. Of writers at the same time one succeeds, the
+    others get a CommitConflict."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, str(root).rstrip("/")
@@ -96,7 +112,13 @@ class Store:
     def head(self) -> str | None:
         """Id of the current commit; None for a store without one."""
         path = f"{self.root}/HEAD"
-        return files.read_text(self.spark, path).strip() if files.exists(self.spark, path) else None
+        at = files.read_text(self.spark, path).strip() if files.exists(self.spark, path) else None
+        while files.exists(self.spark, after := self._after(at)):
+            at = files.read_text(self.spark, after).strip()
+        return at
+
+    def _after(self, tx_id: str | None) -> str:
+        return f"{self.root}/_next/{tx_id or 'none'}"
 
     def commit(self, tx_id: str | None = None) -> Commit:
         """A commit by id, the current one by default."""
@@ -123,61 +145,87 @@ class Store:
             at = commit.prev_id
         return self.spark.createDataFrame(rows, "tx_id string, prev_id string, ts_us long, tables array<string>")
 
-    def publish(self, version: TableVersion, based_on: str | None) -> str:
-        """Commit a table version on top of ``based_on`` and move HEAD there."""
+    def publish(self, version: TableVersion, based_on: str | None, mark: tuple[str, int] | None = None) -> str:
+        """Commit a table version on top of ``based_on``, and with it the batch
+        of a change stream that made it."""
         if self.head() != based_on:
             raise CommitConflict(f"HEAD is {self.head()}, not {based_on}")
-        tables = dict(self.commit(based_on).tables) if based_on else {}
-        tables[version.name] = version
+        before = self.commit(based_on) if based_on else Commit("", None, 0, {})
         ts = time.time_ns() // 1000
         digest = hashlib.sha256(f"{based_on}|{ts}|{version.name}|{version.table_id}|{uuid.uuid4().hex}".encode())
-        commit = Commit(digest.hexdigest().upper(), based_on, ts, tables)
-        files.write_text(self.spark, f"{self.root}/_commits/{commit.tx_id}.json", commit.to_json())
-        if self.head() != based_on:
-            raise CommitConflict(f"HEAD moved from {based_on}")
+        marks = before.marks | ({mark[0]: mark[1]} if mark else {})
+        commit = Commit(digest.hexdigest().upper(), based_on, ts, before.tables | {version.name: version}, marks)
+        path = f"{self.root}/_commits/{commit.tx_id}.json"
+        files.write_text(self.spark, path, commit.to_json())
+        try:
+            files.write_text(self.spark, self._after(based_on), commit.tx_id)
+        except FileExistsError:
+            files.delete(self.spark, path)
+            raise CommitConflict(f"another commit follows {based_on}") from None
         files.write_text(self.spark, f"{self.root}/HEAD", commit.tx_id, replace=True)
         return commit.tx_id
 
     # -- writing ---------------------------------------------------------
 
-    def write_files(self, name: str, schema: KeyedSchema, rows: DataFrame, partitions: int | None = None) -> tuple[str, int]:
-        """Write rows (with row_id) as sorted key ranges and their manifest;
-        returns the manifest's path and the number of rows. One shuffle."""
+    def write_files(self, name: str, schema: KeyedSchema, rows: DataFrame, partitions: int | None = None, unique: bool = False) -> str:
+        """Write rows (with row_id) as sorted key ranges and their manifest, whose
+        path is returned. One shuffle: the range partitioning, in which equal
+        keys meet, also serves the check that keys don't repeat; ``unique`` says
+        that they can't. A null in a key fails as well."""
         batch = uuid.uuid4().hex
         path, manifest = f"{self.root}/data/{name}/{batch}", f"{self.root}/_manifests/{name}/{batch}"
         keys = [F.col(f"`{k}`") for k in schema.keys]
         stored = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema.stored.fields])
         ranged = stored.repartitionByRange(partitions, *keys) if partitions else stored.repartitionByRange(*keys)
+        ranged = ranged.sortWithinPartitions(*keys, ROW_ID)
+        # Range partitioning by the key is what the window wants, and the sort its
+        # order, so numbering the rows of a key costs neither.
+        nth = F.lit(1) if unique else F.row_number().over(W.partitionBy(*keys).orderBy(ROW_ID))
+        lead, numbered_ = schema.keys[0], ranged.withColumn("__nth", nth)
+        guards = {
+            lead: F.when(any_null(schema.keys), failing(NullKey, F.lit(f"null in {list(schema.keys)}")).cast(schema.row[lead].dataType)).otherwise(F.col(f"`{lead}`")),
+            ROW_ID: F.when(F.col("__nth") > 1, failing(DuplicateKey, F.to_json(F.struct(*keys))).cast("long")).otherwise(F.col(ROW_ID)),
+        }
+        guarded = numbered_.select(*[guards.get(c, F.col(f"`{c}`")).alias(c) for c in schema.stored.names])
         try:
-            ranged.sortWithinPartitions(*keys).write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
-            written = self.spark.read.schema(schema.stored).parquet(path)
-            key = F.struct(*keys)
-            digest = F.xxhash64(*[F.col(f"`{c}`") for c in [*schema.columns, ROW_ID]])
-            entries = written.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-                F.count(F.lit(1)).alias("rows"), F.min(key).alias("min_key"), F.max(key).alias("max_key"), F.bit_xor(digest).alias("xor"), F.sum(F.shiftright(digest, 20)).alias("sum")
-            )
-            leaf = F.upper(F.sha2(F.concat_ws("|", F.lit("file"), "rows", "xor", "sum"), 256))
-            entries.select("path", "rows", "min_key", "max_key", leaf.alias("digest")).repartition(1).write.parquet(manifest)
-            total = self.spark.read.parquet(manifest).agg(F.sum("rows")).first()[0] or 0
+            with checked_rows():
+                guarded.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+            self._describe(path, schema).write.parquet(manifest)
         except Exception:
-            files.delete(self.spark, path)
-            files.delete(self.spark, manifest)
+            self.discard(manifest)
             raise
-        return manifest, total
+        return manifest
+
+    def _describe(self, path: str, schema: KeyedSchema) -> DataFrame:
+        """path, rows, min_key, max_key, digest of the files in a folder. A file's
+        digest is of its bounds and of the sums, place by place, of the SHA-256
+        of its rows' canonical bytes, so it is one aggregation without a shuffle
+        of rows. Sums catch any accident; they are no guard against a forger."""
+        written = self.spark.read.schema(schema.stored).parquet(path)
+        key = F.struct(*[F.col(f"`{k}`") for k in schema.keys])
+        own = written.select(F.col("_metadata.file_path").alias("path"), key.alias("key"), row_digest(schema.stored, [*schema.columns, ROW_ID]).alias("sha"))
+        lanes = [F.sum(F.conv(F.substring("sha", 8 * k + 1, 8), 16, 10).cast("long")).alias(f"lane{k}") for k in range(LANES)]
+        entries = own.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), *lanes)
+        leaf = F.sha2(F.concat_ws("|", F.lit("file"), "rows", F.to_json("min_key"), F.to_json("max_key"), *[f"lane{k}" for k in range(LANES)]), 256)
+        return entries.select("path", "rows", "min_key", "max_key", F.upper(leaf).alias("digest"))
 
     def discard(self, manifest: str) -> None:
         """Remove what ``write_files`` wrote, when it isn't committed."""
         files.delete(self.spark, manifest.replace("/_manifests/", "/data/"))
         files.delete(self.spark, manifest)
 
-    def table_id(self, name: str, schema: KeyedSchema, manifests: Sequence[str]) -> str:
-        """Digest of the name, the schema and the digests of all files, in key order."""
-        digests: list[str] = []
+    def version(self, name: str, schema: KeyedSchema, manifests: Sequence[str]) -> TableVersion:
+        """The table that the manifests list. Its id is a digest over the name,
+        the schema and the digests of all files: these are folded by their first
+        three digits on the executors, and the at most 4096 folds on the driver."""
+        folds: list = []
         if manifests:
-            listed = self.manifest_rows(manifests).orderBy("min_key")
-            folded = listed.agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("min_key", "digest"))), lambda x: x["digest"])), 256))
-            digests = [folded.first()[0]]
-        return hashlib.sha256(json.dumps(["table", name, schema.to_json(), digests]).encode()).hexdigest().upper()
+            rows = self.manifest_rows(manifests).groupBy(F.substring("digest", 1, 3).alias("at"))
+            folded = rows.agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256).alias("fold"))
+            folds = folded.orderBy("at").collect()
+        text = json.dumps(["table", name, schema.to_json(), [r["fold"] for r in folds]])
+        total = sum(r["rows"] for r in folds)
+        return TableVersion(name, hashlib.sha256(text.encode()).hexdigest().upper(), schema, total, tuple(manifests) if total else ())
 
     def write_table(self, name: str, df: DataFrame, keys: Sequence[str], mode: str = "replace", partitions: int | None = None) -> str:
         """Load a table from rows with unique, non-null keys and commit it.
@@ -193,47 +241,31 @@ class Store:
         based_on = self.head()
         if mode == "create" and based_on and name in self.commit(based_on).tables:
             raise InvalidArgs(f"table {name!r} exists")
-        rows = df if ROW_ID in df.columns else with_row_ids(df)
-        manifest, total = self.write_files(name, schema, rows, partitions)
+        rows, expected = (df, None) if ROW_ID in df.columns else numbered(df)
+        manifest = self.write_files(name, schema, rows, partitions)
         try:
-            if not total:
+            version = self.version(name, schema, [manifest])
+            if not version.rows:
                 raise InvalidArgs("no rows")
-            self._check_keys(self.manifest_files([manifest], schema), schema)
-            version = TableVersion(name, self.table_id(name, schema, [manifest]), schema, total, (manifest,))
+            if expected not in (None, version.rows):
+                raise InvalidArgs(f"the rows changed between two reads: {expected} and {version.rows}")
             return self.publish(version, based_on)
         except Exception:
             self.discard(manifest)
             raise
 
-    def _check_keys(self, rows: DataFrame, schema: KeyedSchema) -> None:
-        nulls = None
-        for k in schema.keys:
-            nulls = F.col(f"`{k}`").isNull() if nulls is None else nulls | F.col(f"`{k}`").isNull()
-        if not rows.where(nulls).isEmpty():
-            raise NullKey(f"null in {list(schema.keys)}")
-        twice = duplicate_keys(rows, schema.keys).first()
-        if twice is not None:
-            raise DuplicateKey(str(twice.asDict()))
-
     # -- reading ---------------------------------------------------------
 
     def manifest_rows(self, manifests: Sequence[str]) -> DataFrame:
         return self.spark.read.parquet(*manifests)
 
     def manifest_files(self, manifests: Sequence[str], schema: KeyedSchema, where: Column | None = None) -> DataFrame:
-        """The rows of the files that the manifests list, those of ``where``
-        (on min_key and max_key) only if they are few enough to name."""
+        """The rows of the files that the manifests list, of those under ``where``
+        (on min_key and max_key) if given."""
         if not manifests:
             return self.spark.createDataFrame([], schema.stored)
         listed = self.manifest_rows(manifests)
-        if where is not None:
-            listed = listed.where(where)
-        paths = [r["path"] for r in listed.select("path").limit(PRUNED_FILES + 1).collect()]
-        if len(paths) > PRUNED_FILES:
-            paths = [m.replace("/_manifests/", "/data/") for m in manifests]
-        if not paths:
-            return self.spark.createDataFrame([], schema.stored)
-        return self.spark.read.schema(schema.stored).parquet(*paths)
+        return files.read_parquet(self.spark, (listed if where is None else listed.where(where)).select("path"), schema.stored)
 
     def snapshot(self, name: str, tx_id: str | None = None) -> Snapshot:
         """A table as of a commit, the current one by default; pinned from then on."""
@@ -241,7 +273,7 @@ class Store:
 
 
 @dataclass(frozen=True)
-class Snapshot:
+class Snapshot(KeyedReads):
     """One table version, read only."""
 
     store: Store
@@ -277,21 +309,4 @@ class Snapshot:
             if test is not None:
                 where = test if where is None else where & test
         rows = self.store.manifest_files(self.version.manifests, self.schema, where)
-        for column, op, value in constraints:
-            if column not in self.schema.columns:
-                raise SchemaMismatch(f"no column {column!r}")
-            rows = rows.where(predicate(F.col(f"`{column}`"), op, value))
-        return rows
-
-    def scan(self, constraints: Sequence[tuple[str, str, object]] = ()) -> DataFrame:
-        """``stored`` without row_id."""
-        return self.stored(constraints).select(*[F.col(f"`{c}`") for c in self.schema.columns])
-
-    def ordered(self, constraints: Sequence[tuple[str, str, object]] = (), descending: bool = False) -> DataFrame:
-        """Rows in key order, nulls least."""
-        keys = [F.col(f"`{k}`") for k in self.schema.keys]
-        return self.scan(constraints).orderBy(*[k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys])
-
-    def last(self) -> DataFrame:
-        """The row of the greatest key; a top-1, no full sort."""
-        return self.ordered(descending=True).limit(1)
+        return constrained(rows, self.schema, constraints)

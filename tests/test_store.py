@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.errors import CommitConflict, DuplicateKey, InvalidArgs, MissingKeyColumn, NoSuchTable, NoSuchTransaction, NullKey, SchemaMismatch, UnsupportedFieldType
+from tessella.errors import CommitConflict, DuplicateKey, InvalidArgs, KeyNotFound, MissingKeyColumn, NoSuchTable, NoSuchTransaction, NullKey, SchemaMismatch, UnsupportedFieldType
 from tessella.model import KeyedSchema, parse_key_columns
 from tessella.operators.diff import snapshot_diff
 from tessella.operators.keyed import compare_keys, max_key, top_by_key
@@ -255,3 +255,126 @@ def test_change_stream(spark, store, tmp_path):
     feed = spark.readStream.schema("op string, k int, v int, row_id long").parquet(str(tmp_path / "feed"))
     merge_stream(store, "t", feed, str(tmp_path / "offsets")).awaitTermination()
     assert [r[0] for r in rows(store.snapshot("t").ordered())] == [1, 2, 9]
+
+
+def test_feeds_have_their_own_marks(spark, store, tmp_path):
+    from tessella.streaming.merge import merge_stream
+
+    store.write_table("t", kv(spark, 3), ["k"])
+    schema = "op string, k int, v int, row_id long"
+
+    def feed(name, *items):
+        if items:
+            change(spark, *items).write.mode("append").parquet(str(tmp_path / name))
+        merge_stream(store, "t", spark.readStream.schema(schema).parquet(str(tmp_path / name)), str(tmp_path / f"{name}-offsets")).awaitTermination()
+        return [r[0] for r in rows(store.snapshot("t").ordered())]
+
+    assert feed("one", ("I", 9, 90, 9)) == [0, 1, 2, 9]
+    assert feed("two", ("D", 9, 0, 0)) == [0, 1, 2]
+    assert feed("one", ("I", 10, 90, 10)) == [0, 1, 2, 10]
+    at = store.head()
+    assert feed("two") == [0, 1, 2, 10] and store.head() == at
+    assert len(store.commit().marks) == 2
+
+
+def test_a_batch_is_applied_once_under_its_mark(spark, store):
+    """Also after a crash between the commit and what the stream remembers of it."""
+    store.write_table("t", kv(spark, 3), ["k"])
+    batch = change(spark, ("I", 9, 90, 9))
+    once = merge_changes(store, "t", batch, ("s", 4))
+    assert merge_changes(store, "t", batch, ("s", 4)) == once and store.head() == once
+    with pytest.raises(DuplicateKey):
+        merge_changes(store, "t", batch, ("s", 5))
+    assert store.commit().marks == {"s": 4}
+
+
+def everything(path):
+    return sorted(str(p.relative_to(path)) for p in path.rglob("*") if "_delta" not in str(p))
+
+
+def test_failed_batches_leave_no_trace(spark, store, tmp_path, monkeypatch):
+    store.write_table("t", kv(spark, 100), ["k"], partitions=4)
+    before = everything(tmp_path)
+    for bad in (change(spark, ("I", 2, 0, 0)), change(spark, ("U", 999, 0, 0), ("I", 200, 0, 0)), change(spark, ("U", 3, 0, 0), ("D", 3, 0, 0))):
+        with pytest.raises((DuplicateKey, KeyNotFound)):
+            merge_changes(store, "t", bad)
+        assert [p for p in everything(tmp_path) if p not in before and not p.endswith("_drafts")] == []
+
+    def refuse(*args):
+        raise CommitConflict("refused")
+
+    monkeypatch.setattr(Store, "publish", refuse)
+    with pytest.raises(CommitConflict):
+        merge_changes(store, "t", change(spark, ("U", 3, 0, 0)))
+    assert [p for p in everything(tmp_path) if p not in before and not p.endswith("_drafts")] == []
+
+
+def test_merges_of_many_files(spark, store):
+    """Every file is carried on once, whatever the number of files and of merges."""
+    store.write_table("t", kv(spark, 300), ["k"], partitions=60)
+    want = {i: i * 10 for i in range(300)}
+    for k in (5, 150, 299):
+        merge_changes(store, "t", change(spark, ("U", k, -k, k), ("I", 1000 + k, 1, 1)))
+        want |= {k: -k, 1000 + k: 1}
+        assert dict(rows(store.snapshot("t").scan())) == want and store.snapshot("t").row_count() == len(want)
+    assert store.snapshot("t").manifest().agg({"rows": "sum"}).first()[0] == len(want)
+
+
+def test_two_writers_on_one_commit(spark, store):
+    store.write_table("t", kv(spark, 3), ["k"])
+    base, version = store.head(), store.table("t")
+    first = store.publish(version, base)
+    other = Store(spark, store.root)
+    other.head = lambda: base  # looked before the first one committed
+    with pytest.raises(CommitConflict):
+        other.publish(version, base)
+    assert Store(spark, store.root).head() == first and store.commit().prev_id == base
+
+
+def test_head_is_found_without_its_file(spark, store, tmp_path):
+    """A crash after the commit and before HEAD is written loses nothing."""
+    store.write_table("t", kv(spark, 3), ["k"])
+    old = (tmp_path / "HEAD").read_text() if (tmp_path / "HEAD").exists() else None
+    new = store.write_table("t", kv(spark, 4), ["k"])
+    if old:
+        from tessella import files
+
+        files.write_text(spark, f"{store.root}/HEAD", old, replace=True)
+    assert Store(spark, store.root).head() == new
+
+
+def test_one_join_in_a_merge(spark, store):
+    from tessella.operators.merge import joined, merged
+
+    store.write_table("t", kv(spark, 30), ["k"])
+    t = store.snapshot("t")
+    plan = merged(joined(t.stored(), change(spark, ("U", 1, 1, 1)), t.schema), t.schema)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_memory_tables(spark):
+    from tessella.sources.memory import MemoryTable
+
+    t = MemoryTable.of_rows(spark, [(2, "b"), (1, "a"), (3, None)], "k int, s string", ["k"])
+    assert rows(t.ordered()) == [(1, "a"), (2, "b"), (3, None)] and rows(t.scan([("k", ">", 2)])) == [(3, None)] and t.row_count() == 3
+    after = t.merge(spark.createDataFrame([("D", 1, None, 0), ("I", 4, "d", 9)], "op string, k int, s string, row_id long"))
+    assert rows(after.ordered()) == [(2, "b"), (3, None), (4, "d")] and rows(after.last()) == [(4, "d")] and t.row_count() == 3
+    with pytest.raises(DuplicateKey):
+        MemoryTable.of_rows(spark, [(1, "a"), (1, "b")], "k int, s string", ["k"])
+    with pytest.raises(NullKey):
+        MemoryTable.of_rows(spark, [(None, "a")], "k int, s string", ["k"])
+    with pytest.raises(KeyNotFound):
+        from tessella.errors import checked_rows
+
+        with checked_rows():
+            t.merge(spark.createDataFrame([("D", 7, None, 0)], "op string, k int, s string, row_id long")).scan().collect()
+
+
+def test_glob_patterns():
+    import re
+
+    from tessella.functions.text import glob_pattern
+
+    fits = lambda p, t: re.search(glob_pattern(p).replace(r"\z", r"\Z"), t) is not None
+    assert fits("a*c", "abbc") and fits("*", "") and fits("a?c", "abc") and not fits("a?c", "ac") and not fits("A*", "abc")
+    assert fits("[a-c]x", "bx") and not fits("[^a-c]x", "bx") and fits("[]]", "]") and fits("a[", "a[") and fits("a.b", "a.b") and not fits("a.b", "axb") and fits("*\n*", "a\nb")
