@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import types as T
 
 from tessella.errors import InvalidArgs, SchemaMismatch
-from tessella.functions.encoding import encoder, long_digest, lognormal_cdf
+from tessella.functions.encoding import canonical_bytes, encoder, long_digest, lognormal_cdf
 from tessella.model import KeyedSchema
 from tessella.plans.access import order_matches_key, select_access_path
-from tessella.plans.shape import Splitter, inspect_node, leaf_chunks, table_info, tree_edges, tree_nodes
+from tessella.plans.shape import Splitter, inspect_node, leaf_chunks, snapshot_chunks, table_info, tree_edges, tree_nodes
 from tessella.store import Store
 
 
@@ -93,9 +93,32 @@ def test_encodings(spark):
     assert got == {v: hashlib.sha256(encoder(T.LongType())(v)).hexdigest() for v in values}
 
 
-def tree(spark, n, target=300, stddev=60, partitions=1, shift=0):
+def test_canonical_bytes_in_the_jvm(spark):
+    """All seven types, nulls among them, as the encoder has them."""
+    import struct
+
+    f32 = lambda x: struct.unpack("<f", struct.pack("<f", x))[0]
+    rows = [
+        (True, 1, 2**40, f32(1.5), -0.1, "é\U0001f600", b"\x00\xff"),
+        (False, -1, -(2**63), f32(-0.0), float("nan"), "", b""),
+        (None, -(2**31), 2**63 - 1, f32(3.4e38), float("-inf"), None, None),
+        (None, None, None, None, None, "x" * 300, b"y" * 300),
+    ]
+    schema = "a boolean, b int, c long, d float, e double, f string, g binary"
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, " + schema)
+    got = {r["id"]: bytes(r["x"]) for r in df.select("id", canonical_bytes(df.schema, df.columns[1:]).alias("x")).collect()}
+    encoders = [encoder(df.schema[c].dataType) for c in df.columns[1:]]
+    assert got == {i: b"".join(e(v) for e, v in zip(encoders, r)) for i, r in enumerate(rows)}
+
+
+def test_rounding_and_cost_of_estimates():
+    assert [(p.estimated_rows, p.estimated_cost) for p in (select_access_path(schema("k0", "k1"), [("k0", "=")], n) for n in (15, 14, 25, 4))] == [(2, 1.5), (1, 1.4), (3, 2.5), (1, 1.0)]
+    assert select_access_path(schema("k0"), [("k0", ">")], 5).estimated_rows == 3
+
+
+def tree(spark, n, target=300, stddev=60, shift=0):
     df = spark.createDataFrame([(i, i + shift) for i in range(n)], "value long, row_id long")
-    leaves = leaf_chunks(df, KeyedSchema.of(df.schema, ["value"]), target, stddev, partitions)
+    leaves = leaf_chunks(df, KeyedSchema.of(df.schema, ["value"]), target, stddev)
     return leaves, tree_nodes(leaves, target, stddev)
 
 
@@ -116,7 +139,64 @@ def test_tree_is_history_independent_and_covers_row_numbers(spark):
     ids = lambda nodes: {r["node_id"] for r in nodes.collect()}
     same = ids(tree(spark, 500)[1])
     assert same == ids(tree(spark, 500)[1]) and same.isdisjoint(ids(tree(spark, 500, shift=1)[1]))
-    assert sum(r["row_count"] for r in tree(spark, 500, partitions=3)[0].collect()) == 500
+
+
+def brute_leaves(rows, target, stddev):
+    """(node id, first key, last key, rows) of the chunks of (value, row_id) rows."""
+    splitter, out, held = Splitter(target, stddev), [], []
+
+    def close():
+        digest = hashlib.sha256(b"leaf" + b"".join(i + n.to_bytes(8, "little") for i, _, n in held)).hexdigest().upper()
+        out.append((digest, f'["{held[0][1]}"]', f'["{held[-1][1]}"]', len(held)))
+        splitter.reset()
+        held.clear()
+
+    for value, n in rows:
+        item = encoder(T.LongType())(value)
+        held.append((item, value, n))
+        if splitter.ends(item):
+            close()
+    if held:
+        close()
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_stretches_meet(spark, tmp_path, partitions):
+    """Chunked in parallel, files give the chunks of the sequential rule."""
+    rows = [(3 * i, i + 5) for i in range(4000)]
+    store = Store(spark, str(tmp_path))
+    store.write_table("t", spark.createDataFrame(rows, "value long, row_id long"), ["value"], partitions=partitions)
+    made = snapshot_chunks(store.snapshot("t"), target=300, stddev=60)
+    got = [(r["node_id"], r["min_key"], r["max_key"], r["row_count"]) for r in sorted(made.collect(), key=lambda r: (r["part"], r["at"]))]
+    assert got == brute_leaves(rows, 300, 60)
+    assert store.snapshot("t").manifest().count() == partitions
+
+
+def test_levels_match_brute_force(spark):
+    leaves, nodes = tree(spark, 3000)
+    want = {r["node_id"]: None for r in leaves.collect()}
+    level, depth = [(r["node_id"], r["key_bytes"]) for r in sorted(leaves.collect(), key=lambda r: (r["part"], r["at"]))], 0
+    while len(level) > 1:
+        depth += 1
+        splitter, above, held = Splitter(300, 60), [], []
+
+        def close(held=held, above=above, splitter=splitter, depth=depth):
+            node = hashlib.sha256("|".join([f"branch-{depth}", *[i for i, _ in held]]).encode()).hexdigest().upper()
+            want.update({i: node for i, _ in held})
+            want[node] = None
+            above.append((node, held[-1][1]))
+            held.clear()
+            splitter.reset()
+
+        for child in level:
+            held.append(child)
+            if splitter.ends(bytes(child[1])) and len(held) > 1:
+                close()
+        if held:
+            close()
+        level = above
+    assert {r["node_id"]: r["parent_id"] for r in nodes.collect()} == want
 
 
 def test_tree_of_long_keys_shrinks(spark):
