@@ -11,8 +11,10 @@ _WHOLE = r"^[+-]?[0-9]+$"
 _REAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, schema: T.StructType | None = None) -> DataFrame:
-    """Rows of a CSV file. Names come from the header or are ``col_0`` on.
+def read_csv(spark: SparkSession, path: str, header: bool = True, schema: T.StructType | None = None, line_breaks: bool = False) -> DataFrame:
+    """Rows of a CSV file. Names come from the header or are ``col_0`` on. A quote
+    in a quoted field is doubled; ``line_breaks`` reads fields that hold line
+    breaks, for which a file must be read by one task.
 
     With a schema the columns are cast to it. Without, a column is long if all
     its fields are whole numbers of 64 bits, else double if all are numbers,
@@ -20,7 +22,7 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, schema: T.Stru
     over all rows decides. An empty field is an empty string, so a column that
     has one is a string column. A column without rows is a string column.
     """
-    raw = spark.read.option("header", header).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    raw = spark.read.option("header", header).option("nullValue", "\u0000").option("emptyValue", "").option("escape", '"').option("multiLine", line_breaks).csv(path)
     if not header:
         raw = raw.toDF(*[f"col_{i}" for i in range(len(raw.columns))])
     if schema is not None:

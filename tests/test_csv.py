@@ -35,3 +35,8 @@ def test_load_from_csv(spark, tmp_path):
     store.write_table("people", read_csv(spark, path), ["name"])
     assert [tuple(r) for r in store.snapshot("people").ordered().collect()] == [("ann", 30, 1.5), ("bob", 4, 2.5), ("cyd", 9, 0.5)]
     assert sorted(r["row_id"] for r in store.snapshot("people").stored().collect()) == [0, 1, 2]
+
+
+def test_quotes_and_line_breaks(spark, tmp_path):
+    path = write(tmp_path, 'a,b\n"say ""hi"", now",1\n"two\nlines",2\n')
+    assert [tuple(r) for r in read_csv(spark, path, line_breaks=True).collect()] == [('say "hi", now', 1), ("two\nlines", 2)]
