@@ -94,7 +94,7 @@ def merge_changes(store: Store, name: str, changes: DataFrame, mark: tuple[str,
         written.append(store.write_files(name, schema, store.spark.read.schema(schema.stored).parquet(draft), unique=True))
         if version.manifests:
             written.append(f"{written[0]}-kept")
-            store.manifest_rows(version.manifests).where(outside).write.parquet(written[1])
+            store.manifest_rows(version.manifests, schema).where(outside).write.parquet(written[1])
         return store.publish(store.version(name, schema, written), based_on, mark)
     except Exception:
         for manifest in written:

@@ -25,17 +25,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import files
 from .errors import CommitConflict, DuplicateKey, InvalidArgs, NoSuchTable, NoSuchTransaction, NullKey, checked_rows, failing
-from .functions.encoding import row_digest
+from .functions.encoding import text_digest
 from .model import ROW_ID, KeyedSchema
 from .operators.keyed import KeyedReads, any_null, constrained
 
 #: Rows per data file that a load aims at.
 ROWS_PER_FILE = 4_000_000
-#: Places that a SHA-256 is cut into for sums over rows.
-LANES = 8
+#: Places of 32 bits of a SHA-256 that are summed over rows.
+LANES = 4
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, int]:
@@ -199,11 +200,11 @@ class Store:
     def _describe(self, path: str, schema: KeyedSchema) -> DataFrame:
         """path, rows, min_key, max_key, digest of the files in a folder. A file's
         digest is of its bounds and of the sums, place by place, of the SHA-256
-        of its rows' canonical bytes, so it is one aggregation without a shuffle
+        of its rows, so it is one aggregation without a shuffle
         of rows. Sums catch any accident; they are no guard against a forger."""
         written = self.spark.read.schema(schema.stored).parquet(path)
         key = F.struct(*[F.col(f"`{k}`") for k in schema.keys])
-        own = written.select(F.col("_metadata.file_path").alias("path"), key.alias("key"), row_digest(schema.stored, [*schema.columns, ROW_ID]).alias("sha"))
+        own = written.select(F.col("_metadata.file_path").alias("path"), key.alias("key"), text_digest(schema.stored, [*schema.columns, ROW_ID]).alias("sha"))
         lanes = [F.sum(F.conv(F.substring("sha", 8 * k + 1, 8), 16, 10).cast("long")).alias(f"lane{k}") for k in range(LANES)]
         entries = own.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), *lanes)
         leaf = F.sha2(F.concat_ws("|", F.lit("file"), "rows", F.to_json("min_key"), F.to_json("max_key"), *[f"lane{k}" for k in range(LANES)]), 256)
@@ -220,9 +221,9 @@ class Store:
         three digits on the executors, and the at most 4096 folds on the driver."""
         folds: list = []
         if manifests:
-            rows = self.manifest_rows(manifests).groupBy(F.substring("digest", 1, 3).alias("at"))
+            rows = self.manifest_rows(manifests, schema).groupBy(F.substring("digest", 1, 3).alias("at"))
             folded = rows.agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256).alias("fold"))
-            folds = folded.orderBy("at").collect()
+            folds = sorted(folded.collect(), key=lambda r: r["at"])
         text = json.dumps(["table", name, schema.to_json(), [r["fold"] for r in folds]])
         total = sum(r["rows"] for r in folds)
         return TableVersion(name, hashlib.sha256(text.encode()).hexdigest().upper(), schema, total, tuple(manifests) if total else ())
@@ -256,15 +257,19 @@ class Store:
 
     # -- reading ---------------------------------------------------------
 
-    def manifest_rows(self, manifests: Sequence[str]) -> DataFrame:
-        return self.spark.read.parquet(*manifests)
+    def manifest_rows(self, manifests: Sequence[str], schema: KeyedSchema) -> DataFrame:
+        """path, rows, min_key, max_key, digest per data file."""
+        key = T.StructType([schema.stored[k] for k in schema.keys])
+        fields = [("path", T.StringType()), ("rows", T.LongType()), ("min_key", key), ("max_key", key), ("digest", T.StringType())]
+        form = T.StructType([T.StructField(n, t) for n, t in fields])
+        return self.spark.read.schema(form).parquet(*manifests) if manifests else self.spark.createDataFrame([], form)
 
     def manifest_files(self, manifests: Sequence[str], schema: KeyedSchema, where: Column | None = None) -> DataFrame:
         """The rows of the files that the manifests list, of those under ``where``
         (on min_key and max_key) if given."""
         if not manifests:
             return self.spark.createDataFrame([], schema.stored)
-        listed = self.manifest_rows(manifests)
+        listed = self.manifest_rows(manifests, schema)
         return files.read_parquet(self.spark, (listed if where is None else listed.where(where)).select("path"), schema.stored)
 
     def snapshot(self, name: str, tx_id: str | None = None) -> Snapshot:
@@ -290,10 +295,7 @@ class Snapshot(KeyedReads):
 
     def manifest(self) -> DataFrame:
         """path, rows, min_key, max_key, digest per data file."""
-        kind = ", ".join(f"`{k}` {self.schema.row[k].dataType.simpleString()}" for k in self.schema.keys)
-        if not self.version.manifests:
-            return self.store.spark.createDataFrame([], f"path string, rows long, min_key struct<{kind.replace('` ', '`:')}>, max_key struct<{kind.replace('` ', '`:')}>, digest string")
-        return self.store.manifest_rows(self.version.manifests)
+        return self.store.manifest_rows(self.version.manifests, self.schema)
 
     def stored(self, constraints: Sequence[tuple[str, str, object]] = ()) -> DataFrame:
         """Rows with row_id under all constraints. Files whose bounds of the

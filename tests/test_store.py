@@ -378,3 +378,14 @@ def test_glob_patterns():
     fits = lambda p, t: re.search(glob_pattern(p).replace(r"\z", r"\Z"), t) is not None
     assert fits("a*c", "abbc") and fits("*", "") and fits("a?c", "abc") and not fits("a?c", "ac") and not fits("A*", "abc")
     assert fits("[a-c]x", "bx") and not fits("[^a-c]x", "bx") and fits("[]]", "]") and fits("a[", "a[") and fits("a.b", "a.b") and not fits("a.b", "axb") and fits("*\n*", "a\nb")
+
+
+def test_digests_tell_rows_apart(spark):
+    import datetime
+
+    from tessella.functions.encoding import text_digest
+
+    t = datetime.datetime(2020, 1, 1, 1, 1, 1, 1)
+    rows_ = [("a", "b", t, b"x"), ("a|1:b", None, t, b"x"), (None, "a|1:b", t, b"x"), ("a", "b", t.replace(microsecond=2), b"x"), ("a", "b", t, None), ("a", "b", None, b"x"), ("a", "-", t, b""), ("a", None, t, b"")]
+    df = spark.createDataFrame(rows_, "a string, b string, c timestamp, d binary")
+    assert df.select(text_digest(df.schema, df.columns)).distinct().count() == len(rows_)
