@@ -156,23 +156,34 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def rare_words(words: np.ndarray, least: float = MIN_SIMILARITY) -> np.ndarray:
-    """Keys of the words that come first in an order of all words, the longest
-    first: so many that two texts of similarity ``least`` share one of them.
-    Such a pair has that share of either's words in common, and the first of
-    these in the order is among the first of both texts."""
-    n = len(words)
-    keep = n - int(np.ceil(least * n - 1e-9)) + 1
-    labels = labelled(words)
-    first = np.lexsort((labels, -(words & np.uint64(63)).astype(np.int64)))[: keep if n else 0]
-    return _mix(labels[first] ^ np.uint64(0xA0761D6478BD642F))
+def runs(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n consecutive words; of a shorter text none."""
+    m = len(words) - n + 1
+    if m <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.full(m, 0xA0761D6478BD642F + n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            h = _mix(h ^ words[k : k + m])
+    return h
+
+
+def short_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of a short text. An alignment of L words that leaves D words of two
+    texts out falls into D + 1 stretches at most, so one of them has L / (D + 1)
+    words or more. Where the similarity is 0.8 or more and one text has up to
+    SHORT_WORDS words, that is three words, or two of texts of up to five, or the
+    whole of a single word."""
+    if len(words) < 2:
+        return runs(words, 1)
+    return np.unique(np.concatenate([runs(words, 3), runs(words, 2)]) if len(words) <= 5 else runs(words, 3))
 
 
 def candidate_keys(words: np.ndarray, least: float = MIN_SIMILARITY) -> np.ndarray:
     """What two texts must share one of to be aligned: sketches and, of texts
-    that may be within ``least`` of a short one, rarer words."""
+    that may be within ``least`` of a short one, runs of words."""
     keys = sketch(shingles(words))
-    return np.concatenate([keys, rare_words(words, least)]) if len(words) * least <= SHORT_WORDS else keys
+    return np.concatenate([keys, short_keys(words)]) if len(words) * least <= SHORT_WORDS else keys
 
 
 def aligned(a: np.ndarray, b: np.ndarray, reach: int) -> int:
@@ -423,9 +434,10 @@ def _hub_words(mine: DataFrame, other: DataFrame) -> DataFrame:
 
 def _split(members: DataFrame, words: DataFrame, min_similarity: float) -> DataFrame:
     """The buckets of ``members`` cut up by their texts' rarer words, the order
-    being that of how many of these texts hold a word: two texts that are similar
-    enough have one of them in common (see ``rare_words``), and texts that only
-    share a passage or a line have not. Gives (t, key) rows as before."""
+    being that of how many of these texts hold a word. Two texts that are similar
+    enough have the least share of either's words in common, and the rarest of
+    these is among as many of both texts' rarest as that share leaves; texts that
+    only share a passage or a line have none there. Gives (t, key) rows as before."""
 
     def run(batches):
         for batch in batches:
@@ -444,11 +456,9 @@ def _split(members: DataFrame, words: DataFrame, min_similarity: float) -> DataF
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The (t, key) rows of keys that two texts or more hold. Copies of a row
-    are dropped first, most of them before the shuffle."""
-    rows = rows.select("t", "key").distinct()
+    """The distinct (t, key) rows of keys that two texts or more hold."""
     ends = rows.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("key")
-    return checkpoint(rows.join(ends, "key").select("t", "key"))
+    return checkpoint(rows.join(ends, "key").select("t", "key").distinct())
 
 
 def text_links(docs: DataFrame, again: Sequence[int], text: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
