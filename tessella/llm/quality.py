@@ -3,10 +3,12 @@ document's histograms from language references. DataFrame functions only."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import materialise, unused
 
 #: Common words of each language, lower case: fixed values, public stop words.
 COMMON_WORDS = {
@@ -44,16 +46,17 @@ def _listed(words: list[str]):
     return lambda word: word.isin(forms)
 
 
-def measure(docs: DataFrame, text: str = "text", base: bool = True) -> DataFrame:
-    """``docs`` with ``__q``: the base counts, the histograms and the language
-    whose common words the text holds most of. Everything is worked out inside
-    the row, so nothing is shuffled, however often a word or line is repeated.
-    Without ``base`` the counts of repeats, which references don't need, are 0.
+def measure(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None) -> tuple[DataFrame, str]:
+    """``docs`` (the columns ``keep`` of it, all by default) with a column for
+    the base counts, the histograms and the language whose common words the text
+    holds most of; and that column's name, which clashes with no other.
+    Everything is worked out inside the row, so nothing is shuffled, however
+    often a word or line is repeated.
     """
-    rows = without(docs, ["__q"])
-    names = rows.columns
+    names = list(docs.columns if keep is None else keep)
+    (measured,) = unused(docs, "measured")
     own_columns = [f"__c{i}" for i in range(len(names))]
-    rows = rows.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, own_columns)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, own_columns)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
     t = F.col("__t")
     cut = lambda c, what: F.regexp_replace(c, what, "")
     every = sorted({w for words in COMMON_WORDS.values() for w in words})
@@ -63,13 +66,13 @@ def measure(docs: DataFrame, text: str = "text", base: bool = True) -> DataFrame
         total=F.length(t),
         words=F.filter(F.split(t, f"{_WHITE}+"), lambda w: w != ""),
         r1=cut(t, "[a-z]+"),
-        lines=F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")) if base else F.array().cast("array<string>"),
+        lines=F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
     )
     b = _once(
         a,
         [*own_columns, "total"],
         n_words=F.size("words").cast("long"),
-        hashes=F.transform("words", lambda w: F.xxhash64(w)) if base else F.array().cast("array<long>"),
+        hashes=F.transform("words", lambda w: F.xxhash64(w)),
         common=F.filter("words", _listed(every)),
         lower=F.col("total") - F.length("r1"),
         r2=cut(F.col("r1"), f"{_WHITE}+"),
@@ -82,7 +85,7 @@ def measure(docs: DataFrame, text: str = "text", base: bool = True) -> DataFrame
         [*own_columns, "n_words", "common", "n_dup_lines", "lower"],
         word_chars=(F.col("lower") + F.length("r2")).cast("long"),
         n_symbols=(F.length("r2") - F.length(cut(F.col("r2"), "[#*$%&|<>]+"))).cast("long"),
-        windows=F.when(F.lit(base) & (F.col("n_words") >= 5), F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 5), window)).otherwise(F.array().cast("array<long>")),
+        windows=F.when(F.col("n_words") >= 5, F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 5), window)).otherwise(F.array().cast("array<long>")),
         r2=F.col("r2"),
         r3=cut(F.col("r2"), "[A-Z]+"),
         hits=F.array(*[F.struct(h.alias("n"), F.lit(lang).alias("lang")) for lang, h in hits.items()]),
@@ -135,15 +138,15 @@ def measure(docs: DataFrame, text: str = "text", base: bool = True) -> DataFrame
         ),
     )
     q = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lang", "counts", "common")
-    return f.select(*[F.col(k).alias(c) for c, k in zip(names, own_columns)], q.alias("__q"))
+    return f.select(*[F.col(k).alias(c) for c, k in zip(names, own_columns)], q.alias(measured)), measured
 
 
-def fit_references(docs: DataFrame, text: str = "text") -> dict[str, dict[str, dict[str, float]]]:
+def fit_references(measured: DataFrame, column: str) -> dict[str, dict[str, dict[str, float]]]:
     """Per language the mean histogram of its documents: shares of the character
-    classes and of the common words. One pass over all documents; what reaches
-    the driver is at most languages x (classes + common words) sums, a bound
-    that the input does not move."""
-    q = measure(docs.select(text), text, base=False).select("__q.*")
+    classes and of the common words. One pass over the measures of all
+    documents; what reaches the driver is at most languages x (classes + common
+    words) sums, a bound that the input does not move."""
+    q = measured.select(F.col(column).alias("q")).select("q.*")
     q = q.where((F.col("n_words") >= MIN_WORDS) & (F.col("word_chars") >= MIN_CHARS) & F.col("lang").isNotNull())
     unit = lambda n, of: F.floor(n.cast("long") * UNIT / F.greatest(of, F.lit(1))).cast("long")
     shares = F.concat(
@@ -172,10 +175,12 @@ def _term(p: Column, q: Column) -> Column:
     return half(p, m) + half(q, m)
 
 
-def judge(measured: DataFrame, references: dict) -> DataFrame:
-    """``measured`` with ``__char_js``, ``__word_js`` (null where a guard or a
-    missing reference leaves them unjudged) and ``__kept``."""
-    q = F.col("__q")
+def judge(measured: DataFrame, column: str, references: dict) -> tuple[DataFrame, str, str]:
+    """``measured`` with the verdicts of the base rules and of all rules, and the
+    names of these two columns (failed, kept). A distance that a guard or a
+    missing reference leaves unjudged rejects nothing."""
+    q = F.col(column)
+    at_char, at_word, at_failed, at_kept = unused(measured, "char", "word", "failed", "kept")
     n, chars, lang = q["n_words"], q["word_chars"], q["lang"]
 
     def char_js(ref: dict) -> Column:
@@ -208,27 +213,37 @@ def judge(measured: DataFrame, references: dict) -> DataFrame:
     else:
         char = word = F.lit(None).cast("double")
     failed = (n < 10) | (100 * q["n_repeat_words"] > 20 * n)
-    out = measured.withColumns({"__char_js": char, "__word_js": word, "__failed": failed})
-    far = F.coalesce(F.col("__char_js") > MAX_CHAR_DISTANCE, F.lit(False)) | F.coalesce(F.col("__char_js") + F.col("__word_js") > MAX_JOINT_DISTANCE, F.lit(False))
-    return out.withColumn("__kept", ~F.col("__failed") & ~far)
+    out = measured.withColumns({at_char: char, at_word: word, at_failed: failed})
+    far = F.coalesce(F.col(at_char) > MAX_CHAR_DISTANCE, F.lit(False)) | F.coalesce(F.col(at_char) + F.col(at_word) > MAX_JOINT_DISTANCE, F.lit(False))
+    return out.withColumn(at_kept, ~F.col(at_failed) & ~far), at_failed, at_kept
+
+
+def judged(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None) -> tuple[DataFrame, str, str, str]:
+    """``docs`` measured and judged against its own references, and the names of
+    the columns measured, failed and kept. Texts are measured once: the measures
+    are written to the shared folder, and the references and the verdicts read
+    from there."""
+    rows, column = measure(docs, text, keep)
+    rows = materialise(rows)
+    return (*judge(rows, column, fit_references(rows, column)), column)
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that the rules keep, all columns as they were.
+    """The documents that the rules keep, all columns as they were, whatever
+    they are called.
 
     A null or empty text has no words and fails the base rule. Short texts that
     pass it are kept: the histograms are judged from MIN_WORDS words and
     MIN_CHARS characters on. Rows are judged by themselves, so repeated rows
     share their verdict. An empty table stays empty.
     """
-    references = fit_references(docs, text)
-    return judge(measure(docs, text), references).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, _, kept, _ = judged(docs, text)
+    return rows.where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept for every row; see ``quality_filter`` for odd texts."""
-    rows = docs.select("doc_id", "text")
-    judged = judge(measure(rows), fit_references(rows))
-    counts = [F.col("__q")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return judged.select("doc_id", *counts, F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    rows, failed, kept, column = judged(docs.select("doc_id", "text"), keep=["doc_id"])
+    counts = [F.col(column)[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return rows.select("doc_id", *counts, F.col(failed).alias("base_failed"), F.col(kept).alias("kept"))

@@ -78,9 +78,10 @@ def test_write_shards(spark, tmp_path):
 # -- 8 ----------------------------------------------------------------------
 
 
-def brute_lines(rows, least):
+def brute_lines(rows, least, once=False):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    seen = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
+    texts = [t or "" for _, t in rows]
+    seen = Counter(k for t in (set(texts) if once else texts) for k in {key(x) for x in t.split("\n")} if k)
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -121,6 +122,45 @@ def test_line_dedup_keeps_columns(spark):
     assert line_dedup.drop_repeated_lines(empty_docs(spark)).count() == 0
 
 
+def test_counts_of_the_arrays_decide(spark):
+    """One index serves any least count: what its count array holds tells."""
+    docs = spark.createDataFrame([(i, "\n".join(f"line {k}" for k in range(1, 9) if i < k)) for i in range(9)], "doc_id long, text string")
+    index = line_dedup.build_index(docs)
+    assert sum(r["lines"] for r in index.select("lines").collect()) == 7  # line 1 is in one document
+    for least in range(2, 9):
+
+        def dropped(batch, drops):
+            import pyarrow as pa
+
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in drops], pa.int64())], names=["doc_id", "n"])
+
+        rows = line_dedup.with_drops(docs, index, dropped, "doc_id long, n long", least).collect()
+        assert {r["doc_id"]: r["n"] for r in rows} == {i: sum(i < k and k >= least for k in range(1, 9)) for i in range(9)}
+
+
+def test_copies_count_once_where_asked(spark):
+    """Ten copies of a text keep its lines; ten texts with a line lose it."""
+    rows = [(i, "a first line\na second one") for i in range(10)] + [(100 + i, f"shared by many\nown {i}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs, 10, distinct_texts=True).collect()}
+    assert got == {i: t if i < 100 else f"own {i - 100}" for i, t in rows}
+    assert {r["text"] for r in line_dedup.drop_repeated_lines(docs.where("doc_id < 100"), 10).collect()} == {""}
+
+
+@pytest.mark.parametrize("block", [48 << 20, 1])
+def test_columns_of_any_name_stay(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", 2)
+    names = ["__drop", "__drop_", "__t", "__label", "__gone_t", "__gone_id", "salt", "key"]
+    lines = [f"this is line number {k} of the text" for k in range(8)]
+    rows = [(i, "\n".join(lines) + f"\nown {i % 7 * 111}", *range(8)) for i in range(12)] + [(None, "a b c", *range(8))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for out, n in ((line_dedup.drop_repeated_lines(docs, 10), 14), (near_dedup.keep_one(docs), 2)):
+        got = out.collect()
+        assert out.columns == docs.columns and len(got) == n
+        assert all([r[c] for c in names] == list(range(8)) for r in got)
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(5)
     for n in (0, 1, 2, 100, 30_000):
@@ -214,15 +254,8 @@ def test_leaks_in_the_test_tables(spark, duck):
 # -- 9 ----------------------------------------------------------------------
 
 
-def labelled_set(text):
-    words = re.findall(r"[^\W_]+", (text or "").casefold())
-    n = min(5, len(words))
-    seen, out = Counter(), []
-    for i in range(len(words) - n + 1 if n else 0):
-        g = tuple(words[i : i + n])
-        out.append((g, seen[g]))
-        seen[g] += 1
-    return out
+def words_in(text):
+    return re.findall(r"[^\W_]+", (text or "").casefold())
 
 
 def brute_similarity(a, b):
@@ -236,7 +269,8 @@ def brute_similarity(a, b):
 
 
 def brute_classes(rows, least=0.8):
-    """Classes as a partition of row places."""
+    """Classes as a partition of row places: all pairs that have a candidate key
+    in common, aligned in full."""
     parent = list(range(len(rows)))
 
     def find(i):
@@ -244,13 +278,15 @@ def brute_classes(rows, least=0.8):
             i = parent[i]
         return i
 
-    sets = [labelled_set(t) for _, t in rows]
+    lists = [words_in(t) for _, t in rows]
+    keys = [set(near_dedup.candidate_keys(w, least).tolist()) for w in near_dedup.word_hashes([t for _, t in rows])]
     for i, (_, a) in enumerate(rows):
         for j, (_, b) in enumerate(rows[:i]):
             if a is None or b is None or find(i) == find(j):
                 continue
-            common = len(set(sets[i]) & set(sets[j]))
-            if a == b or sets[i] and sets[j] and common >= least * (len(sets[i]) + len(sets[j]) - common) and brute_similarity(sets[i], sets[j]) >= least:
+            common = sum((Counter(lists[i]) & Counter(lists[j])).values())
+            near = keys[i] & keys[j] and common >= least * (len(lists[i]) + len(lists[j]) - common)
+            if a == b or near and brute_similarity(lists[i], lists[j]) >= least:
                 parent[find(i)] = find(j)
     groups = defaultdict(list)
     for i in range(len(rows)):
@@ -315,20 +351,55 @@ def test_near_classes_of_odd_tables(spark):
     assert near_dedup.keep_one(none).count() == 2
 
 
-def test_similarity_matches_brute_force():
+def hashed(values):
+    return near_dedup._mix(np.array(values, dtype=np.uint64))
+
+
+@pytest.mark.parametrize("least", [0.8, 0.6])
+def test_similarity_matches_brute_force(least):
     rng = random.Random(9)
-    for _ in range(80):
-        a = [rng.randint(0, 40) for _ in range(rng.randint(1, 40))]
+    for _ in range(150):
+        a = [rng.randint(0, 40) for _ in range(rng.randint(1, 60))]
         b = list(a)
         for _ in range(rng.randint(0, 6)):
             at = rng.randrange(len(b) + 1)
             b[at : at + rng.randint(0, 2)] = [rng.randint(0, 40)] * rng.randint(0, 2)
+        if rng.random() < 0.2:
+            b = b[len(b) // 2 :] + b[: len(b) // 2]
         if not b:
             continue
-        arrays = [near_dedup.labelled(near_dedup._mix(np.array(x, dtype=np.uint64))) for x in (a, b)]
-        want = brute_similarity(*[x.tolist() for x in arrays])
-        got = near_dedup.similarity(*map(near_dedup.Sequenced, arrays))
-        assert got == pytest.approx(want) if want >= 0.8 else got < 0.8
+        want = brute_similarity(a, b)
+        got = near_dedup.similarity(near_dedup.Sequenced(hashed(a)), near_dedup.Sequenced(hashed(b)), least)
+        assert got == pytest.approx(want) if want >= least else got < least
+        assert near_dedup.aligned(hashed(a), hashed(b), len(a) + len(b)) == pytest.approx(want * (len(a) + len(b)) / (1 + want))
+
+
+def test_short_texts_lose_no_candidate():
+    """Every pair of a short text and another at the least similarity shares a key."""
+    rng = random.Random(4)
+    for _ in range(400):
+        a = [f"w{rng.randint(0, 60) ** 2}" for _ in range(rng.randint(1, 24))]
+        b = list(a)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [f"x{rng.randint(0, 9)}"] * rng.randint(0, 1)
+        if b and brute_similarity(a, b) >= 0.8:
+            x, y = (set(near_dedup.candidate_keys(w).tolist()) for w in near_dedup.word_hashes([" ".join(a), " ".join(b)]))
+            assert x & y
+
+
+@pytest.mark.parametrize("edits, recall", [(0.02, 0.995), (0.05, 0.9)])
+def test_recall_of_edited_copies(edits, recall):
+    """Copies of 60 to 300 words with that share of the words changed, anywhere."""
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(5000)]
+    caught = 0
+    for _ in range(200):
+        a = rng.choices(vocab, k=rng.randint(60, 300))
+        b = [rng.choice(vocab) if rng.random() < edits else w for w in a]
+        x, y = near_dedup.word_hashes([" ".join(a), " ".join(b)])
+        caught += bool({*near_dedup.candidate_keys(x).tolist()} & {*near_dedup.candidate_keys(y).tolist()}) and near_dedup.similarity(near_dedup.Sequenced(x), near_dedup.Sequenced(y)) >= 0.8
+    assert caught >= recall * 200
 
 
 def test_words_are_hashed_alike_anywhere():
@@ -360,9 +431,9 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     items = [(0, rows[0][1]), (1, "an item that no document has in it")]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     folder = table_folder(tmp_path, documents=spark.createDataFrame(rows, schema), benchmark=spark.createDataFrame(items, "item_id long, text string"))
-    references = quality.fit_references(spark.read.parquet(f"{folder}/documents.parquet"))
+    references = quality.fit_references(*quality.measure(spark.read.parquet(f"{folder}/documents.parquet")))
     docs = [(i, t) for i, t, *_ in rows if brute_keeps(t or "", references)[1]]
-    docs = [(i, kept) for i, _, _, kept in brute_lines(docs, 10)]
+    docs = [(i, kept) for i, _, _, kept in brute_lines(docs, 10, once=True)]
     docs = [min(((docs[k][0] is None, docs[k][0], docs[k][1]) for k in group))[1:] for group in brute_classes(docs)]
     texts = [decontam.words_of(t) for _, t in items]
     docs = [(i, t) for i, t in docs if all(brute_align(x, decontam.words_of(t)) < 0.5 * 2 * len(x) for x in texts)]
@@ -372,6 +443,27 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in got) == want and len(want) > 20
 
 
+def test_pipeline_keeps_one_of_many_copies(spark, tmp_path):
+    """Ten and more copies of a text lose nothing: one of them stays, whole."""
+    text = PROSE + "\nMost of them had come a long way on foot and were glad of the fire\nNo one spoke for a while, and then all of them did"
+    rows = [(i, text, "en", "s", 1) for i in range(12)] + [(50, "It was late when he left the inn, and the road was as dark as it had ever been in that part of the land", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = table_folder(tmp_path, documents=spark.createDataFrame(rows, schema), benchmark=spark.createDataFrame([(1, "none holds these words at all")], "item_id long, text string"))
+    got = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, folder).collect()}
+    assert got[0] == hashlib.sha256(text.encode()).hexdigest() and set(got) == {0, 50}
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    benchmark = spark.createDataFrame([(1, "an item that no document has in it"), (2, None)], "item_id long, text string")
+    folder = table_folder(tmp_path, documents=empty_docs(spark), benchmark=benchmark)
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    (tmp_path / "odd").mkdir()
+    folder = table_folder(tmp_path / "odd", documents=odd_docs(spark), benchmark=benchmark)
+    got = corpus_pipeline.run(spark, folder).collect()
+    kept = {r["doc_id"]: r["decoded_sha256"] for r in got}
+    assert kept[6] == hashlib.sha256(PROSE.encode()).hexdigest() and 7 not in kept and len(got) == len(kept)
+
+
 def test_pipeline_stages_keep_columns(spark):
     docs = loaded(spark)
     for name, stage in corpus_pipeline.STAGES[:-1]:
