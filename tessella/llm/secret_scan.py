@@ -9,6 +9,7 @@ import random
 import re
 import string
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +37,8 @@ MIN_GAIN = 7.0
 SLACK, SLACK_EACH = 5.0, 1.0
 #: Steps of this probability or more are a format's literal prefix.
 LITERAL = math.log(0.2)
-#: Least characters of a format span, and the most that an automaton walks.
+#: Least characters of a format span, and the most that an automaton walks from
+#: one start (longer tokens are no credentials to it).
 MIN_CHARS, MAX_CHARS = 16, 8192
 #: Alphabets of ordinary random strings: counters, hashes, identifiers, base64.
 _DIGITS, _HEX, _LOW, _UP = string.digits, string.digits + "abcdef", string.ascii_lowercase, string.ascii_uppercase
@@ -257,19 +259,9 @@ class FormatModel:
         letters = "".join(plain)
         self.single = {x: (letters.count(x) + 0.3) / (len(letters) + 0.3 * 68) for x in {*letters}}
 
-    def words(self, text: str) -> float:
-        """Log-likelihood as words, identifiers or paths."""
-        total = 0.0
-        for a, b in zip("\0" + text, text):
-            single = self.single.get(b, 0.3 / 1000)
-            total += math.log((self.pairs.get(a, {}).get(b, 0) + 20 * single) / (self.sums.get(a, 0) + 20))
-        return total
-
-    def plain(self, text: str) -> float:
-        """Log-likelihood of a span as something ordinary."""
-        symbols = set(text)
-        sizes = [len(x) for x in ALPHABETS if symbols <= x]
-        return max(self.words(text), -len(text) * math.log(min(sizes))) if sizes else self.words(text)
+    def _pair(self, a: str, b: str) -> float:
+        single = self.single.get(b, 0.3 / 1000)
+        return math.log((self.pairs.get(a, {}).get(b, 0) + 20 * single) / (self.sums.get(a, 0) + 20))
 
     def find(self, run: str) -> list[tuple[int, int, str, float]]:
         """(start, end, label, gain) of the credentials in a run, leftmost first.
@@ -280,15 +272,26 @@ class FormatModel:
         literal prefix must be likelier by the format than as words, so that
         placeholders made of words are none."""
         found, at = [], 0
+        sums: list[float] = []
+
+        def words(start: int, end: int) -> float:
+            """Log-likelihood as words, identifiers or paths, from sums over the run."""
+            if not sums:
+                sums.extend(accumulate(map(self._pair, run, run[1:]), initial=0.0))
+            return self._pair("\0", run[start]) + sums[end - 1] - sums[start] if end > start else 0.0
+
         while at < len(run):
             ends = []
             if run[at] in self.begins and not (at and run[at - 1].isalnum()):
                 for label in self.begins[run[at]]:
+                    held, seen = ALPHABETS, at
                     for end, score, literal, rest in self.formats[label].ends_from(run, at):
-                        if end - at >= MIN_CHARS and (end == len(run) or not run[end].isalnum()) and rest >= self.words(run[literal:end]):
-                            gain = score - self.plain(run[at:end])
-                            if gain >= MIN_GAIN:
-                                ends.append((gain, end, label))
+                        if end - at < MIN_CHARS or end < len(run) and run[end].isalnum() or rest < words(literal, end):
+                            continue
+                        held, seen = [x for x in held if x.issuperset(run[seen:end])], end
+                        ordinary = max([words(at, end), *[-(end - at) * math.log(len(x)) for x in held]])
+                        if score - ordinary >= MIN_GAIN:
+                            ends.append((score - ordinary, end, label))
             if ends:
                 most, best, _ = max(ends)
                 end, gain, label = max((end, gain, label) for gain, end, label in ends if gain >= most - SLACK - SLACK_EACH * max(0, end - best))
