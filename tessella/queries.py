@@ -253,7 +253,7 @@ def tree_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = snapshot_chunks(store.snapshot("orders"), [], 300, 60)
     ours, theirs = leaves.select("node_id"), other.select(F.col("node_id").alias("other"))
     both = ours.join(theirs, ours["node_id"] == theirs["other"], "full_outer")
-    return both.agg(F.count_if(F.col("node_id").isNull() | F.col("other").isNull()).alias("different"), F.lit(store.snapshot("orders").row_count()).alias("total_rows"))
+    return both.agg(F.count_if(F.col("node_id").isNull() | F.col("other").isNull()).alias("different"), F.lit(store.snapshot("orders").row_count()).cast("long").alias("total_rows"))
 
 
 def tree_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,16 +486,16 @@ NATIVE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "access_plan_estimates": (access_plan_estimates, _PLANS_SQL),
     "row_digest": (key_digest, "SELECT o_orderkey, sha256(unhex('03' || array_to_string(list_reverse(regexp_extract_all(lpad(to_hex(o_orderkey::BIGINT), 16, '0'), '..')), ''))) AS digest FROM orders"),
     "typed_digest": (typed_digest, _TYPED_SQL),
-    "chunk_summary": (chunk_summary, "SELECT count(*) AS total_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, 0 AS empty_leaves, true AS near_target FROM orders"),
-    "leaf_members": (leaf_members, "SELECT count(*) AS members, 0 AS wrong_leaves FROM orders"),
-    "tree_history": (tree_history, "SELECT 0 AS different, count(*) AS total_rows FROM orders"),
+    "chunk_summary": (chunk_summary, "SELECT count(*) AS total_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, 0::BIGINT AS empty_leaves, true AS near_target FROM orders"),
+    "leaf_members": (leaf_members, "SELECT count(*) AS members, 0::BIGINT AS wrong_leaves FROM orders"),
+    "tree_history": (tree_history, "SELECT 0::BIGINT AS different, count(*) AS total_rows FROM orders"),
     "csv_types": (
         csv_types,
         "SELECT n_name || ', \"the' AS col_0, CAST(n_nationkey AS BIGINT) AS col_1, n_nationkey / 4 AS col_2, n_regionkey < 2 AS col_3, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END AS col_4, "
         "'string,bigint,double,boolean,string' AS kinds FROM nation",
     ),
     "merge_many_files": (_merge("IUD", 64), _MERGED["IUD"].format(k=_KEPT)),
-    "replayed_batch": (replayed_batch, "SELECT * FROM (VALUES (0, true), (1, false), (2, true), (3, true), (4, false)) AS t(step, commits)"),
+    "replayed_batch": (replayed_batch, "SELECT step::BIGINT AS step, commits FROM (VALUES (0, true), (1, false), (2, true), (3, true), (4, false)) AS t(step, commits)"),
     "memory_table": (memory_rows, "SELECT n_nationkey, lower(n_name) AS n_name, n_regionkey FROM nation WHERE n_nationkey % 5 <> 0 AND n_regionkey >= 1 AND n_regionkey < 4"),
     "key_comparison": (
         key_comparison,
@@ -524,7 +524,7 @@ NATIVE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         "SELECT 'branch' AS node_type, count(*) AS row_count, '[\"' || min(o_orderkey) || '\"]' AS min_key, '[\"' || max(o_orderkey) || '\"]' AS max_key, true AS all_children FROM orders",
     ),
     "tree_info": (tree_info, "SELECT 'orders' AS name, 6 AS columns, 1 AS key_columns, count(*) AS total_rows, count(*) AS row_count, true AS depth_of_root, true AS deep FROM orders"),
-    "tree_edges": (tree_links, "SELECT count(*) AS leaf_rows, 1 AS roots, 1 AS nodes_less_edges, 0 AS wrong_sums, 0 AS skips FROM orders"),
+    "tree_edges": (tree_links, "SELECT count(*) AS leaf_rows, 1::BIGINT AS roots, 1::BIGINT AS nodes_less_edges, 0::BIGINT AS wrong_sums, 0::BIGINT AS skips FROM orders"),
 }
 
 #: SQL that both engines run as it is; views are the test tables.
