@@ -43,6 +43,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_in_loop(df: DataFrame) -> DataFrame:
+    """``checkpoint`` for what goes into a next round. A checkpoint keeps the size
+    estimate of its plan, and a join's is the product of its sides', so the digits
+    of that one number double with each round until they fill the driver. Here
+    the rows, their partitioning and order are kept and the estimate is dropped."""
+    spark = df.sparkSession
+    jvm, session = spark._jvm, spark._jsparkSession
+    plan = checkpoint(df)._jdf.queryExecution().analyzed()
+    none = jvm.scala.Option.empty()
+    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, session, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), spark)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write as Parquet in the shared folder and read again."""
     spark = df.sparkSession

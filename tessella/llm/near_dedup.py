@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_batches, materialise, unused
+from .common import checkpoint_in_loop as checkpoint
+from .common import map_batches, materialise, unused
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8

@@ -418,6 +418,18 @@ def test_components(spark, monkeypatch, edges):
     assert got == {**{i: i // 10 * 10 for i in range(40)}, 100: 0, 200: 0}
 
 
+def test_size_estimate_of_many_rounds(spark, monkeypatch):
+    """A long chain takes many rounds, whose size estimates don't multiply."""
+    monkeypatch.setattr(near_dedup, "TASK_EDGES", 10)
+    rounds, cut = [], near_dedup.checkpoint
+    monkeypatch.setattr(near_dedup, "checkpoint", lambda df: rounds.append(cut(df)) or rounds[-1])
+    nodes = random.Random(4).sample(range(10**6), 300)
+    got = near_dedup.components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long"))
+    assert {(r["node"], r["label"]) for r in got.collect()} == {(x, min(nodes)) for x in nodes}
+    bits = [df._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length() for df in rounds]
+    assert len(bits) > 7 and max(bits) <= 64
+
+
 # -- pipeline ---------------------------------------------------------------
 
 
